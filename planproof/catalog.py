@@ -1,13 +1,597 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, each with its SQL."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from planproof.functions import json as js
+from planproof.functions import scalar
+from planproof.operators import breakdown as bd
+from planproof.operators import conventions, diff, judge, metrics, profile, quality
+from planproof.plans import generate, graph, infer
+from planproof.plans.marts import Marts
+from planproof.session import configured
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Marts(configured(spark), sf_dir))
+
+        QUERIES[key] = run
+        if sql:
+            SQL[key] = sql
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
+
+
+# ------------------------------------------------------------------ SQL of the example models
+
+_CTES = """
+stg_orders AS (SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderstatus AS status, CAST(round(o_totalprice * 100) AS BIGINT) AS total_cents,
+  o_orderdate AS ordered_at, o_orderpriority AS channel FROM orders),
+stg_items AS (SELECT l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS quantity, CAST(round(l_extendedprice * 100) AS BIGINT) AS gross_cents,
+  CAST(round(l_extendedprice * l_discount * 100) AS BIGINT) AS discount_cents, l_shipdate AS shipped_at, l_returnflag AS return_flag FROM lineitem),
+items_aggregated AS (SELECT order_id, count(*) AS line_item_count, sum(quantity)::BIGINT AS units, sum(gross_cents)::BIGINT AS gross_amount_cents,
+  sum(discount_cents)::BIGINT AS discount_amount_cents, sum(gross_cents - discount_cents)::BIGINT AS net_amount_cents FROM stg_items GROUP BY order_id),
+fct_orders AS (SELECT o.order_id, customer_id, status, channel, CAST(ordered_at AS DATE) AS order_date, coalesce(line_item_count, 0) AS line_item_count,
+  coalesce(units, 0) AS units, coalesce(net_amount_cents, 0) AS net_amount_cents, status = 'F' AS is_cancelled, status IN ('O', 'P') AS is_open,
+  line_item_count IS NOT NULL AS has_items, CASE WHEN status = 'F' THEN 'closed' WHEN status = 'O' THEN 'open' ELSE 'other' END AS status_group
+  FROM stg_orders o LEFT JOIN items_aggregated i ON o.order_id = i.order_id),
+fct_order_items AS (SELECT i.order_id, product_id, customer_id, quantity, gross_cents, gross_cents - discount_cents AS net_cents,
+  date_diff('day', CAST(ordered_at AS DATE), CAST(shipped_at AS DATE)) AS days_to_ship FROM stg_items i JOIN stg_orders o ON i.order_id = o.order_id),
+dim_products AS (SELECT p_partkey AS product_id, upper(p_brand) AS brand,
+  list_aggregate(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS type, p_size::BIGINT AS size,
+  coalesce(units_sold, 0) AS units_sold, coalesce(orders, 0) AS orders
+  FROM part LEFT JOIN (SELECT product_id, sum(quantity)::BIGINT AS units_sold, count(DISTINCT order_id) AS orders FROM stg_items GROUP BY 1) s ON p_partkey = product_id)"""
+
+
+def _dim(where: str) -> str:
+    return f"""(SELECT c_custkey AS customer_id, lower(c_name) AS name, c_mktsegment AS segment, c_nationkey::BIGINT AS nation_id,
+  coalesce(lifetime_orders, 0) AS lifetime_orders, coalesce(lifetime_cents, 0) AS lifetime_cents, lifetime_orders IS NOT NULL AS has_ordered, first_order_date, last_order_date
+  FROM customer LEFT JOIN (SELECT customer_id, count(*) AS lifetime_orders, sum(net_amount_cents)::BIGINT AS lifetime_cents, min(order_date) AS first_order_date,
+  max(order_date) AS last_order_date FROM fct_orders {where} GROUP BY customer_id) l ON c_custkey = l.customer_id)"""
+
+
+_WITH = f"WITH {_CTES}, dim_base AS {_dim('WHERE status <> ' + chr(39) + 'F' + chr(39))}, dim_head AS {_dim('')}"
+
+
+def _model(name: str) -> str:
+    return f"{_WITH} SELECT * FROM {name}"
+
+
+@query(_model("dim_base"))
+def build_dim_customers(m):
+    return m.dim_customers()
+
+
+@query(_model("fct_orders"))
+def build_fct_orders(m):
+    return m.fct_orders()
+
+
+@query(_model("fct_order_items"))
+def build_fct_order_items(m):
+    return m.fct_order_items()
+
+
+@query(_model("dim_products"))
+def build_dim_products(m):
+    return m.dim_products()
+
+
+@query(_model("items_aggregated"))
+def build_items_aggregated(m):
+    return m.items_aggregated()
+
+
+@query("SELECT CAST(d AS DATE) AS date_day FROM generate_series(DATE '2023-01-01', DATE '2026-12-31', INTERVAL 1 DAY) t(d)")
+def build_time_spine(m):
+    return scalar.time_spine(m.spark, "2023-01-01", "2026-12-31")
+
+
+# ------------------------------------------------------------------ sources
+
+
+@query("SELECT event_id, TRY_CAST(CAST(ts AS VARCHAR) AS TIMESTAMP)::DATE AS day, TRY_CAST(CAST(user_id AS VARCHAR) AS BIGINT) AS user_id, TRY_CAST(event_type AS BIGINT) AS bad_long, TRY_CAST(CAST(event_id % 7 AS VARCHAR) || '.0' AS BIGINT) AS whole FROM events")
+def stage_try_cast(m):
+    e = m.table("events")
+    text = e.select("event_id", F.col("ts").cast("string").alias("ts"), F.col("user_id").cast("string").alias("user_id"), "event_type", F.concat((F.col("event_id") % 7).cast("string"), F.lit(".0")).alias("whole"))
+    long, ts = scalar.declared_type("int64"), scalar.declared_type("timestamp")
+    return text.select("event_id", scalar.try_cast_text(F.col("ts"), ts).cast("date").alias("day"), scalar.try_cast_text(F.col("user_id"), long).alias("user_id"), scalar.try_cast_text(F.col("event_type"), long).alias("bad_long"), scalar.try_cast_text(F.col("whole"), long).alias("whole"))
+
+
+@query("SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS email, CAST(NULL AS DOUBLE) AS total WHERE false")
+def stage_typed_null(m):
+    return generate.empty_stand_in(m.spark, {"id": "int64", "email": "text", "total": "numeric(28,6)"})
+
+
+@query("SELECT event_id - 1 AS _row, props IS NOT NULL AS filled FROM events")
+def stage_ordered_rows(m):
+    return m.table("events").select((F.col("event_id") - 1).alias("_row"), F.col("props").isNotNull().alias("filled"))
+
+
+@query("SELECT r_regionkey, coalesce(u.name, r_name) AS r_name FROM region LEFT JOIN (SELECT 1 AS k, 'ONE' AS name UNION ALL SELECT 3, 'THREE') u ON r_regionkey = u.k")
+def sink_update_join(m):
+    return generate.update_column(m.table("region"), m.spark.createDataFrame([(1, "ONE"), (3, "THREE")], "r_regionkey int, r_name string"), "r_regionkey", "r_name")
+
+
+# ------------------------------------------------------------------ row differences
+
+
+def _changed_orders(m):
+    """A tenth of the orders cost more, every hundredth is gone, every 250th is doubled."""
+    o = m.table("orders")
+    k = F.col("o_orderkey")
+    new = o.where(k % 100 != 7).withColumn("o_totalprice", F.when(k % 10 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return new.unionAll(new.where(k % 250 == 0))
+
+
+_HEAD_ORDERS = """base AS (SELECT * FROM orders), once AS (SELECT * REPLACE (CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice)
+  FROM orders WHERE o_orderkey % 100 <> 7), head AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE o_orderkey % 250 = 0)"""
+_BOTH = "(SELECT count(*) FROM (SELECT {c} FROM head EXCEPT ALL SELECT {c} FROM base)) AS only_head, (SELECT count(*) FROM (SELECT {c} FROM base EXCEPT ALL SELECT {c} FROM head)) AS only_base"
+
+
+def _row_sql(ctes: str, cols: str = "*") -> str:
+    return f"WITH {ctes} SELECT {_BOTH.format(c=cols)}"
+
+
+@query(_row_sql("base AS (SELECT * FROM orders), head AS (SELECT * FROM orders)"))
+def diff_rows_identical(m):
+    return diff.row_diff(m.table("orders"), m.table("orders"))
+
+
+@query(_row_sql(_HEAD_ORDERS))
+def diff_rows_changed(m):
+    return diff.row_diff(_changed_orders(m), m.table("orders"))
+
+
+_DUP = "base AS (SELECT l_orderkey, l_linenumber FROM lineitem), head AS (SELECT l_orderkey, l_linenumber FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 5 = 0)"
+
+
+@query(_row_sql(_DUP))
+def diff_rows_duplicates(m):
+    b = m.table("lineitem").select("l_orderkey", "l_linenumber")
+    return diff.row_diff(b.unionAll(b.where("l_orderkey % 5 = 0")), b)
+
+
+_NULLS = "base AS (SELECT o_orderkey % 50 AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS s FROM orders), head AS (SELECT o_orderkey % 50 AS k, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS s FROM orders)"
+
+
+@query(_row_sql(_NULLS))
+def diff_rows_nulls(m):
+    side = lambda n: m.table("orders").select((F.col("o_orderkey") % 50).alias("k"), F.when(F.col("o_orderkey") % n != 0, F.col("o_orderstatus")).alias("s"))
+    return diff.row_diff(side(4), side(3))
+
+
+def _reshaped_orders(m):
+    return _changed_orders(m).drop("o_orderpriority").withColumn("o_orderdate", F.col("o_orderdate").cast("date")).withColumn("is_big", F.col("o_totalprice") > 100000)
+
+
+@query(_row_sql(_HEAD_ORDERS, "o_orderkey, o_custkey, o_orderstatus, o_totalprice"))
+def diff_common_columns(m):
+    return diff.row_diff(_reshaped_orders(m), m.table("orders"))
+
+
+@query(f"""WITH {_HEAD_ORDERS}, d AS (SELECT {_BOTH.format(c="o_orderkey, o_custkey, o_orderstatus, o_totalprice")}, (SELECT count(*) FROM base) AS rows_base, (SELECT count(*) FROM head) AS rows_head)
+SELECT rows_base, rows_head, only_head AS rows_differing, true AS schema_changed, true AS breaking, rows_base <> rows_head AS rows_changed, false AS identical FROM d""")
+def diff_summary(m):
+    head, base = _reshaped_orders(m), m.table("orders")
+    s = diff.with_renames(head, base)
+    counts = head.agg(F.count("*").alias("rows_head")).crossJoin(base.agg(F.count("*").alias("rows_base")))
+    d = diff.row_diff(head, base).crossJoin(counts)
+    changed = F.col("rows_base") != F.col("rows_head")
+    same = ~F.lit(s.changed) & ~changed & (F.coalesce("only_head", F.lit(0)) == 0)
+    return d.select("rows_base", "rows_head", F.col("only_head").alias("rows_differing"), F.lit(s.changed).alias("schema_changed"), F.lit(s.breaking).alias("breaking"), changed.alias("rows_changed"), same.alias("identical"))
+
+
+@query(f"""WITH {_HEAD_ORDERS}, h AS (SELECT 'head' AS side, count(*) AS copies, * FROM (SELECT * FROM head EXCEPT ALL SELECT * FROM base) GROUP BY ALL),
+b AS (SELECT 'base' AS side, count(*) AS copies, * FROM (SELECT * FROM base EXCEPT ALL SELECT * FROM head) GROUP BY ALL)
+SELECT side, copies, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM (SELECT * FROM h UNION ALL SELECT * FROM b)""")
+def diff_row_samples(m):
+    d = diff.differing_rows(_changed_orders(m), m.table("orders"))
+    return d.select("side", "copies", "o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+
+
+@query("""SELECT * FROM (VALUES ('is_big', 'added', NULL, 'BOOLEAN'), ('o_orderdate', 'retyped', 'TIMESTAMP_NTZ', 'DATE'), ('o_orderpriority', 'removed', 'STRING', NULL)) t("column", change, base_type, head_type)""")
+def diff_schema(m):
+    return diff.schema_rows(_reshaped_orders(m), m.table("orders"))
+
+
+@query("SELECT * FROM (VALUES ('o_orderstatus', 'status'), ('o_custkey', 'customer_id')) t(base_name, head_name)")
+def diff_renames(m):
+    base = m.table("orders")
+    head = base.withColumnsRenamed({"o_orderstatus": "status", "o_custkey": "customer_id"}).withColumn("other_id", F.col("o_orderkey") + 1)
+    return m.spark.createDataFrame(diff.with_renames(head, base).renamed, "base_name string, head_name string")
+
+
+@query("SELECT count(*) = 0 AS same FROM ((SELECT o_orderstatus FROM orders EXCEPT ALL SELECT reverse(o_orderstatus) FROM orders) UNION ALL (SELECT reverse(o_orderstatus) FROM orders EXCEPT ALL SELECT o_orderstatus FROM orders))")
+def diff_same_values(m):
+    o = m.table("orders")
+    d = diff.signed(o.select(F.reverse("o_orderstatus").alias("v")), o.select(F.col("o_orderstatus").alias("v")), ["v"])
+    return d.agg((F.count_if(F.col("__sign") != 0) == 0).alias("same"))
+
+
+# ------------------------------------------------------------------ profiles
+
+
+@query("""SELECT 'p_brand' AS "column", count(*) AS "rows", count(p_brand) AS non_null, count(DISTINCT p_brand) AS n_distinct FROM part
+UNION ALL SELECT 'p_size', count(*), count(p_size), count(DISTINCT p_size) FROM part UNION ALL SELECT 'p_type', count(*), count(p_type), count(DISTINCT p_type) FROM part""")
+def profile_added_columns(m):
+    return profile.profile_columns(m.table("part"), ["p_brand", "p_size", "p_type"])
+
+
+@query("SELECT l_returnflag AS value, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 8")
+def profile_top_values(m):
+    return profile.top_values(m.table("lineitem"), "l_returnflag")
+
+
+# ------------------------------------------------------------------ metrics
+
+_SEMANTIC = metrics.SemanticModel(
+    "orders", "fct_orders",
+    {x.name: x for x in (
+        metrics.Measure("order_count", "count", "order_id"), metrics.Measure("net", "sum", "net_amount_cents"), metrics.Measure("buyers", "count_distinct", "customer_id"),
+        metrics.Measure("avg_units", "average", "units"), metrics.Measure("first_key", "min", "order_id"), metrics.Measure("last_key", "max", "order_id"),
+        metrics.Measure("mid_units", "median", "units"), metrics.Measure("cancelled", "sum_boolean", "is_cancelled"), metrics.Measure("p90", "percentile", "units"),
+    )},
+    {"status": "status", "channel": "channel", "is_open": "is_open"}, ["status", "channel"], {"order": "order_id"},
+)
+_CUSTOMERS = metrics.SemanticModel("customers", "dim_customers", {"customer_count": metrics.Measure("customer_count", "count", "customer_id")}, {"segment": "segment"}, ["segment"], {})
+_METRICS = [metrics.Metric(n, measure=n) for n in _SEMANTIC.measures] + [
+    metrics.Metric("customer_count", measure="customer_count"),
+    metrics.Metric("open_net", measure="net", filters=["{{ Dimension('order__is_open') }} = true"], measure_filters=["{{ Dimension('order__status') }} <> 'P'"]),
+    metrics.Metric("net_per_order", "ratio", numerator="net", denominator="order_count"),
+    metrics.Metric("cancelled_share", "derived", expr="cancelled / order_count * 100", inputs=["cancelled", "order_count"]),
+    metrics.Metric("all_time_net", "cumulative", measure="net"),
+    metrics.Metric("weekly_net", "cumulative", measure="net", window="7 days"),
+    metrics.Metric("orders_per_customer", "ratio", numerator="order_count", denominator="customer_count"),
+]
+COMPILER = metrics.SemanticCompiler([_SEMANTIC, _CUSTOMERS], _METRICS)
+_BY_NAME = {c.name: c for c in COMPILER.all()}
+
+
+def _metric_query(key: str, metric: str, sql: str):
+    @query(f"WITH {_CTES} SELECT {sql} AS {metric} FROM fct_orders", key)
+    def run(m):
+        return metrics.batch(m.fct_orders(), [_BY_NAME[metric]])[0]
+
+
+_metric_query("metric_sum", "net", "sum(net_amount_cents)::BIGINT")
+_metric_query("metric_count", "order_count", "count(order_id)")
+_metric_query("metric_count_distinct", "buyers", "count(DISTINCT customer_id)")
+_metric_query("metric_average", "avg_units", "avg(units)")
+_metric_query("metric_min", "first_key", "min(order_id)")
+_metric_query("metric_max", "last_key", "max(order_id)")
+_metric_query("metric_median", "mid_units", "median(units)")
+_metric_query("metric_sum_boolean", "cancelled", "sum(CASE WHEN is_cancelled THEN 1 ELSE 0 END)::BIGINT")
+_metric_query("metric_filtered", "open_net", "(sum(net_amount_cents) FILTER (WHERE status <> 'P' AND is_open = true))::BIGINT")
+_metric_query("metric_ratio", "net_per_order", "CAST(sum(net_amount_cents) AS DOUBLE) / nullif(count(order_id), 0)")
+_metric_query("metric_derived", "cancelled_share", "CAST(sum(CASE WHEN is_cancelled THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(order_id) AS DOUBLE) * 100")
+_metric_query("metric_cumulative_all_time", "all_time_net", "sum(net_amount_cents)::BIGINT")
+
+_BI = metrics.BiCompiler("fct_orders", {
+    "order_id": {"orders": {"type": "count"}, "big_orders": {"type": "count", "filters": [{"units": ">= 100"}, {"status": "!F"}]}},
+    "net_amount_cents": {"net": {"type": "sum"}},
+    "channel": {"urgent": {"type": "count", "filters": [{"channel": "1-URGENT, 2-HIGH"}]}, "known": {"type": "count", "filters": [{"channel": "!null"}, {"is_open": True}]}},
+}, {"net_per_order": {"type": "number", "sql": "${net} / nullif(${orders}, 0)"}, "loop": {"type": "number", "sql": "${loop} + 1"}})
+
+
+@query(f"""WITH {_CTES} SELECT count(order_id) AS orders, count(order_id) FILTER (WHERE units >= 100 AND status <> 'F') AS big_orders, sum(net_amount_cents)::BIGINT AS net,
+count(channel) FILTER (WHERE channel IN ('1-URGENT', '2-HIGH')) AS urgent, count(channel) FILTER (WHERE channel IS NOT NULL AND is_open) AS known,
+sum(net_amount_cents)::BIGINT / nullif(count(order_id), 0) AS net_per_order FROM fct_orders""")
+def metric_bi_number(m):
+    return metrics.batch(m.fct_orders(), _BI.all())[0]
+
+
+@query(f"{_WITH} SELECT CAST((SELECT count(order_id) FROM fct_orders) AS DOUBLE) / nullif((SELECT count(customer_id) FROM dim_base), 0) AS orders_per_customer")
+def metric_spanning(m):
+    return metrics.combine(_BY_NAME["orders_per_customer"], {"fct_orders": m.fct_orders(), "dim_customers": m.dim_customers()})
+
+
+@query(f"""WITH {_CTES} SELECT count(order_id) AS order_count, sum(net_amount_cents)::BIGINT AS net, count(DISTINCT customer_id) AS buyers, avg(units) AS avg_units, max(order_id) AS last_key,
+sum(net_amount_cents)::BIGINT AS all_time_net FROM fct_orders""")
+def metric_batch(m):
+    names = ["order_count", "net", "buyers", "avg_units", "last_key", "all_time_net", "p90", "weekly_net"]
+    return metrics.batch(m.fct_orders(), [_BY_NAME[n] for n in names])[0]
+
+
+@query("""SELECT * FROM (VALUES ('p90', 'aggregation `percentile` is not evaluated'), ('weekly_net', 'cumulative over a 7 days window needs a time spine and is not evaluated')) t(metric, reason)""")
+def metric_refused(m):
+    return m.spark.createDataFrame([(c.name, c.unsupported) for c in COMPILER.all() if c.unsupported], "metric string, reason string")
+
+
+_FLAGSHIP = metrics.config_metrics([
+    {"name": "customers", "model": "dim_customers", "sql": "count(customer_id)"},
+    {"name": "lifetime_orders", "model": "dim_customers", "sql": "sum(lifetime_orders)"},
+    {"name": "lifetime_value", "model": "dim_customers", "sql": "sum(lifetime_cents)"},
+    {"name": "average_orders", "model": "dim_customers", "sql": "avg(lifetime_orders)"},
+    {"name": "buyers", "model": "dim_customers", "sql": "count(*) filter (where has_ordered)"},
+])
+
+
+def _moved_sql() -> str:
+    exprs = {"customers": "count(customer_id)", "lifetime_orders": "sum(lifetime_orders)", "lifetime_value": "sum(lifetime_cents)", "average_orders": "avg(lifetime_orders)", "buyers": "count(*) FILTER (WHERE has_ordered)"}
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS metric, CAST((SELECT {e} FROM dim_base) AS DOUBLE) AS base, CAST((SELECT {e} FROM dim_head) AS DOUBLE) AS head" for n, e in exprs.items())
+    return f"{_WITH}, r AS ({rows}) SELECT *, abs(head - base) > 1e-9 AS moved FROM r"
+
+
+@query(_moved_sql())
+def metric_diff(m):
+    return metrics.metric_diff(m.dim_customers(True), m.dim_customers(), _FLAGSHIP)
+
+
+def _delta(base, head):
+    pct = F.round((head - base) / F.abs(base) * 100, 1)
+    return F.when(base.isNull() | head.isNull(), None).when(base == 0, head - base).otherwise(pct)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cancelled orders counted in lifetime value: each metric before and after."""
+    m = Marts(configured(spark), sf_dir)
+    d = metrics.metric_diff(m.dim_customers(True), m.dim_customers(), _FLAGSHIP)
+    return d.withColumn("delta_pct", _delta(F.col("base"), F.col("head"))).select("metric", "base", "head", "delta_pct", "moved").orderBy("metric")
+
+
+@query(_moved_sql().replace("SELECT *, abs(head - base) > 1e-9 AS moved FROM r", "SELECT metric, round((head - base) / abs(base) * 100, 1) AS delta_pct FROM r WHERE base <> 0"))
+def percent_delta(m):
+    d = metrics.metric_diff(m.dim_customers(True), m.dim_customers(), _FLAGSHIP)
+    return d.where("base <> 0").select("metric", _delta(F.col("base"), F.col("head")).alias("delta_pct"))
+
+
+# ------------------------------------------------------------------ breakdowns
+
+
+def _breakdown_sql(dims: dict[str, str], expr: str) -> str:
+    side = lambda t: " UNION ALL ".join(f"SELECT '{n}' AS dimension, CAST({e} AS VARCHAR) AS value, CAST({expr} AS DOUBLE) AS metric FROM {t} GROUP BY 2" for n, e in dims.items())
+    return f"""{_WITH}, h AS ({side('dim_head')}), b AS ({side('dim_base')}), met AS (SELECT coalesce(h.dimension, b.dimension) AS dimension, coalesce(h.value, b.value) AS value,
+b.metric AS base, h.metric AS head, abs(coalesce(h.metric, 0) - coalesce(b.metric, 0)) AS contribution FROM h FULL JOIN b ON h.dimension = b.dimension AND h.value IS NOT DISTINCT FROM b.value)"""
+
+
+_DIMS = {"segment": "segment", "bought": "has_ordered"}
+
+
+@query(_breakdown_sql(_DIMS, "sum(lifetime_cents)") + " SELECT * FROM met")
+def breakdown_segment(m):
+    return bd.breakdown(m.dim_customers(True), m.dim_customers(), _DIMS, "sum(lifetime_cents)")
+
+
+@query(_breakdown_sql(_DIMS, "sum(lifetime_orders)") + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY contribution DESC, coalesce(value, 'None'))::INT AS place FROM met) WHERE place <= 3")
+def breakdown_top3(m):
+    return bd.top_contributors(bd.breakdown(m.dim_customers(True), m.dim_customers(), _DIMS, "sum(lifetime_orders)"))
+
+
+@query("""SELECT * FROM (SELECT 'event_type' AS dimension, count(DISTINCT event_type) AS n_distinct FROM events UNION ALL SELECT 'user', count(DISTINCT user_id) FROM events
+UNION ALL SELECT 'weekday', count(DISTINCT dayofweek(ts)) FROM events UNION ALL SELECT 'constant', 1 FROM events LIMIT 4) WHERE n_distinct BETWEEN 2 AND 12 ORDER BY n_distinct, dimension LIMIT 3""")
+def dimension_gate(m):
+    return bd.gate(m.table("events"), {"event_type": "event_type", "user": "user_id", "weekday": "dayofweek(ts)", "constant": "1"})
+
+
+@query(_moved_sql().replace("SELECT *, abs(head - base) > 1e-9 AS moved FROM r", "SELECT metric, base, head FROM r WHERE abs(head - base) > 1e-9 ORDER BY CASE WHEN base = 0 THEN 1e308 ELSE abs((head - base) / base) END DESC, metric LIMIT 1"))
+def top_mover(m):
+    d = metrics.metric_diff(m.dim_customers(True), m.dim_customers(), _FLAGSHIP)
+    return bd.biggest_mover(d, ("metric",)).select("metric", "base", "head")
+
+
+# ------------------------------------------------------------------ data tests
+
+
+@query("SELECT 'not_null_discount' AS test, count(*) AS failures FROM (SELECT nullif(l_discount, 0) AS d FROM lineitem) WHERE d IS NULL")
+def test_not_null(m):
+    return quality.failures(quality.not_null(m.table("lineitem").select(F.nullif("l_discount", F.lit(0.0)).alias("d")), "d"), "not_null_discount")
+
+
+@query("SELECT 'unique_line' AS test, count(*) AS failures FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)")
+def test_unique(m):
+    return quality.failures(quality.unique(m.table("lineitem"), "l_orderkey", "l_linenumber"), "unique_line")
+
+
+@query("SELECT o_orderstatus AS value_field, count(*) AS n_records FROM orders WHERE o_orderstatus NOT IN ('O', 'P') GROUP BY 1")
+def test_accepted_values(m):
+    return quality.accepted_values(m.table("orders"), "o_orderstatus", ["O", "P"])
+
+
+@query("SELECT 'order_customer' AS test, count(*) AS failures FROM (SELECT CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE o_custkey + 1 END AS k FROM orders) c LEFT JOIN customer p ON c.k = p.c_custkey WHERE k IS NOT NULL AND p.c_custkey IS NULL")
+def test_relationships(m):
+    child = m.table("orders").select(F.when(F.col("o_orderkey") % 20 != 0, F.col("o_custkey") + 1).alias("k"))
+    return quality.failures(quality.relationships(child, "k", m.table("customer"), "c_custkey"), "order_customer")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 400000")
+def test_singular(m):
+    m.table("orders").createOrReplaceTempView("singular_orders")
+    return quality.singular(m.spark, "SELECT o_orderkey FROM singular_orders WHERE o_totalprice > 400000")
+
+
+@query("SELECT 1::BIGINT AS missing, 1::BIGINT AS unexpected")
+def unit_test_diff(m):
+    items = m.spark.createDataFrame([(10, 1, 2, 1000, 100), (10, 2, 1, 500, 0), (11, 1, 3, 1000, 300)], "order_id long, product_id long, quantity long, unit_cents long, discount_cents long")
+    gross = F.col("quantity") * F.col("unit_cents")
+    actual = items.groupBy("order_id").agg(F.count("*").alias("lines"), F.sum("quantity").alias("units"), F.sum(gross).alias("gross"), F.sum(gross - F.col("discount_cents")).alias("net"))
+    expected = m.spark.createDataFrame([(10, 2, 3, 2500, 2400), (11, 1, 3, 3000, 2701)], "order_id long, lines long, units long, gross long, net long")
+    return quality.unit_diff(actual, expected)
+
+
+_RESULTS = [
+    ("a", "fail", 108, None, "fail", 108, None), ("b", "fail", 90, None, "fail", 108, None), ("c", "fail", 120, None, "fail", 108, None), ("d", "fail", 3, None, None, None, None),
+    ("e", "fail", 3, None, "pass", 0, None), ("f", "fail", 3, None, "skipped", None, None), ("g", "error", None, "bad x", "fail", 1, None), ("h", "fail", 1, None, "error", None, "bad x"),
+    ("i", "error", None, "no column a in head.t", "error", None, "no column a in base.t"), ("j", "error", None, "no column b", "error", None, "no column a"), ("k", "warn", 2, None, "warn", 2, None), ("l", "pass", 0, None, "fail", 3, None),
+]
+
+
+@query("""SELECT * FROM (VALUES ('a', true, false), ('b', true, false), ('c', false, true), ('d', false, true), ('e', false, true), ('f', false, true), ('g', false, true), ('h', false, true), ('i', true, false), ('j', false, true), ('k', false, false), ('l', false, false)) t(test, preexisting, counts)""")
+def judge_tests(m):
+    head = m.spark.createDataFrame([r[:4] for r in _RESULTS], "test string, status string, failures long, message string")
+    base = m.spark.createDataFrame([(r[0], *r[4:]) for r in _RESULTS if r[4]], "test string, status string, failures long, message string")
+    return judge.judged(head, base)
+
+
+# ------------------------------------------------------------------ graph
+
+_EDGES = [("src.customers", "stg_customers"), ("src.orders", "stg_orders"), ("src.items", "stg_items"), ("stg_items", "int_items"), ("stg_orders", "fct_orders"), ("int_items", "fct_orders"), ("stg_customers", "dim_customers"), ("fct_orders", "dim_customers"), ("src.products", "dim_products")]
+_EDGE_SQL = "edges(parent, child) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + ")"
+
+
+def _edges(m):
+    return m.spark.createDataFrame(_EDGES, "parent string, child string")
+
+
+@query(f"WITH RECURSIVE {_EDGE_SQL}, d(node) AS (SELECT 'stg_items' UNION SELECT child FROM edges JOIN d ON parent = node) SELECT node FROM d WHERE node <> 'stg_items'")
+def dag_descendants(m):
+    return graph.reachable(_edges(m), ["stg_items"]).where("depth > 0").select("node")
+
+
+@query(f"WITH RECURSIVE {_EDGE_SQL}, d(node) AS (SELECT 'int_items' UNION SELECT child FROM edges JOIN d ON parent = node), u(node) AS (SELECT node FROM d UNION SELECT parent FROM edges JOIN u ON child = node) SELECT node FROM u")
+def dag_affected(m):
+    return graph.affected(_edges(m), ["int_items"])
+
+
+@query("SELECT * FROM (VALUES ('fct_orders', 1), ('stg_orders', 2), ('stg_items', 3)) t(node, depth)")
+def dag_changed_ancestors(m):
+    return graph.changed_ancestors(_edges(m), "dim_customers", ["stg_orders", "fct_orders", "stg_items", "dim_products"])
+
+
+@query(f"WITH RECURSIVE {_EDGE_SQL}, d(node) AS (SELECT 'src.items' UNION SELECT child FROM edges JOIN d ON parent = node) SELECT node FROM d WHERE node NOT LIKE 'src.%'")
+def fixture_bound(m):
+    return graph.reachable(_edges(m), ["src.items"]).where("depth > 0").select("node")
+
+
+# ------------------------------------------------------------------ conventions
+
+_NODES = [("stg_shop__orders", "staging", 1, 0, True), ("orders_stage", "staging", 1, 0, True), ("stg_shop__all", "staging", 2, 0, False), ("stg_shop__mix", "staging", 1, 1, True), ("int_orders__sum", "intermediate", 0, 1, True), ("fct_orders", "marts", 1, 1, False), ("summary", "marts", 0, 2, True)]
+
+
+def _nodes(m):
+    return m.spark.createDataFrame(_NODES, "model string, layer string, sources int, refs int, described boolean")
+
+
+@query("SELECT * FROM (VALUES ('naming', 'orders_stage'), ('naming', 'summary')) t(rule, model)")
+def conv_naming(m):
+    return conventions.naming(_nodes(m)).select("rule", "model")
+
+
+@query("SELECT * FROM (VALUES ('layering', 'stg_shop__all'), ('layering', 'stg_shop__mix'), ('layering', 'fct_orders')) t(rule, model)")
+def conv_layering(m):
+    return conventions.layering(_nodes(m)).select("rule", "model")
+
+
+@query("SELECT * FROM (VALUES ('primary_key', 'b'), ('primary_key', 'c'), ('primary_key', 'd')) t(rule, model)")
+def conv_primary_key(m):
+    tests = m.spark.createDataFrame([("a", "id", "unique"), ("a", "id", "not_null"), ("b", "id", "unique"), ("c", "id", "unique"), ("c", "key", "not_null")], "model string, column string, test string")
+    return conventions.primary_key(m.spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "model string"), tests).select("rule", "model")
+
+
+@query("SELECT * FROM (VALUES ('column_naming', 'active'), ('column_naming', 'BadName'), ('column_naming', 'created')) t(rule, column_name)")
+def conv_column_naming(m):
+    cols = m.spark.createDataFrame([("d", "customer_id", "BIGINT"), ("d", "created", "TIMESTAMP"), ("d", "first_order_date", "DATE"), ("d", "active", "BOOLEAN"), ("d", "is_business", "BOOLEAN"), ("d", "BadName", "STRING")], "model string, column_name string, type string")
+    return conventions.column_naming(cols).select("rule", "column_name")
+
+
+@query("SELECT * FROM (VALUES ('error', 3::BIGINT), ('warn', 4::BIGINT)) t(severity, violations)")
+def conv_severity_counts(m):
+    n = _nodes(m)
+    every = conventions.naming(n).union(conventions.layering(n, severity="error")).union(conventions.description(n))
+    return every.groupBy("severity").agg(F.count("*").alias("violations"))
+
+
+# ------------------------------------------------------------------ JSON
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.a.b') AS missing FROM events")
+def json_extract_paths(m):
+    return m.table("events").select("event_id", js.extract(F.col("props"), "k").alias("k"), js.extract(F.col("props"), "a.b").alias("missing"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(json_extract_string(props, '$.k') AS DATE) AS d FROM events")
+def json_typed_leaf(m):
+    return m.table("events").select("event_id", js.leaf(F.col("props"), "k", "integer").alias("k"), js.leaf(F.col("props"), "k", "date").alias("d"))
+
+
+@query("SELECT event_id, (event_id % 4)::INT AS n FROM events")
+def json_array_len(m):
+    e = m.table("events").select("event_id", F.to_json(F.struct(F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(1), (F.col("event_id") % 4).cast("int")).alias("items"))).alias("j"))
+    return e.select("event_id", js.array_length(F.col("j"), "items").alias("n"))
+
+
+@query("SELECT 200::BIGINT AS n, 200::BIGINT AS distinct_totals, true AS arrays_fit, true AS whole")
+def json_values(m):
+    shape = {"id": "integer", "total": "number", "paid": "boolean", "items[].sku": "string", "at.day": "date"}
+    rows = generate.json_rows(m.spark, "parcels", "payload", shape, 200)
+    j = F.col("payload")
+    size = js.array_length(j, "items")
+    return rows.agg(F.count("*").alias("n"), F.countDistinct(js.leaf(j, "total", "number")).alias("distinct_totals"), F.every(size.between(1, 3)).alias("arrays_fit"), F.every(js.leaf(j, "id", "integer").isNotNull() & js.leaf(j, "at.day", "date").isNotNull() & js.leaf(j, "paid", "boolean").isNotNull()).alias("whole"))
+
+
+# ------------------------------------------------------------------ inference
+
+_COLUMNS = {"email": "varchar", "created_at": "timestamp", "signup_date": "date", "customer_id": "int", "is_active": "boolean", "order_total_cents": "int", "item_count": "int", "tax_rate": "decimal", "description": "varchar", "starts_on": "date", "enabled": "boolean", "subtotal": "decimal", "nickname": "varchar"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _COLUMNS.items()) + ") t(name, type)")
+def infer_types_by_name(m):
+    return m.spark.createDataFrame([(k,) for k in _COLUMNS], "name string").select("name", infer.type_by_name_column(F.col("name")).alias("type"))
+
+
+@query("SELECT * FROM (VALUES ('amount', 'date'), ('day_count', 'int'), ('label', 'decimal'), ('code', 'varchar'), ('flagged', 'boolean'), ('parent_id', 'int'), ('total_amount', 'decimal')) t(name, type)")
+def infer_type_precedence(m):
+    cases = [("amount", "date", None), ("day_count", None, "numeric"), ("label", None, "numeric"), ("code", None, "varchar"), ("flagged", None, "boolean"), ("parent_id", None, None), ("total_amount", None, None)]
+    return m.spark.createDataFrame([(n, infer.resolve_type(n, cast=c, usage=u)) for n, c, u in cases], "name string, type string")
+
+
+@query("SELECT * FROM (VALUES ('orders', 'customer_id', 'customers'), ('orders', 'box', 'boxes'), ('items', 'order_id', 'orders'), ('items', 'category_id', 'raw_categories')) t(child, column_name, parent)")
+def fk_candidates(m):
+    tables = {"customers": ["id"], "orders": ["id", "customer_id", "box", "ordered_at"], "items": ["id", "order_id", "category_id"], "raw_categories": ["id"], "boxes": ["id"]}
+    return m.spark.createDataFrame([(t, c, p) for t, cols in tables.items() for c in cols if (p := infer.foreign_key(t, c, tables))], "child string, column_name string, parent string")
+
+
+# ------------------------------------------------------------------ verdicts
+
+
+@query("SELECT * FROM (VALUES ('clean', 'passed'), ('warned', 'passed_with_warnings'), ('broken', 'failed'), ('unchanged', 'nothing_changed'), ('fatal', 'could_not_run')) t(run, verdict)")
+def verdict(m):
+    rows = [("clean", False, 3, 0, 0), ("warned", False, 3, 0, 2), ("broken", False, 3, 1, 1), ("unchanged", False, 0, 0, 0), ("fatal", True, 0, 0, 0)]
+    return judge.verdicts(m.spark.createDataFrame(rows, "run string, fatal boolean, changed int, failing int, warnings int"))
+
+
+@query("SELECT * FROM (VALUES ('b', 'built fell'), ('c', 'failed rose'), ('d', 'rename no longer detected'), ('e', 'verdict is worse')) t(run, regression)")
+def suite_regressions(m):
+    cols = "run string, verdict string, built int, failed int, not_verified int, no_result int, rename_detected boolean"
+    old = [(r, "passed", 5, 0, 0, 0, True) for r in "abcde"]
+    new = [("a", "passed", 6, 0, 0, 0, True), ("b", "passed", 4, 0, 0, 0, True), ("c", "passed", 5, 1, 0, 0, True), ("d", "passed", 5, 0, 0, 0, False), ("e", "failed", 5, 0, 0, 0, True)]
+    return judge.regressions(m.spark.createDataFrame(new, cols), m.spark.createDataFrame(old, cols))
+
+
+@query("SELECT *, date_diff('hour', CAST(ts AS TIMESTAMP), CAST(ts AS TIMESTAMP) + INTERVAL 95 MINUTE) AS hours, date_diff('month', ts, ts + INTERVAL 40 DAY) AS months FROM (SELECT event_id, ts FROM events)")
+def fn_date_diff(m):
+    e = m.table("events").select("event_id", "ts")
+    return e.select("event_id", "ts", scalar.date_diff("hour", F.col("ts"), F.expr("ts + interval 95 minutes")).alias("hours"), scalar.date_diff("month", F.col("ts"), F.expr("ts + interval 40 days")).alias("months"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey / (o_orderkey % 3) END AS ratio, initcap_ FROM (SELECT *, upper(o_orderstatus[1]) || lower(o_orderstatus[2:]) AS initcap_ FROM orders)")
+def fn_safe_divide(m):
+    return m.table("orders").select("o_orderkey", scalar.safe_divide(F.col("o_orderkey"), F.col("o_orderkey") % 3).alias("ratio"), F.initcap("o_orderstatus").alias("initcap_"))
+
+
+@query("SELECT 'orders' AS table_name, 40::BIGINT AS n, 40::BIGINT AS keys, 0::BIGINT AS orphans, 0::BIGINT AS bad_status")
+def generate_constraints(m):
+    made = generate.tables(m.spark, generate.EXAMPLE, {"customers": 15, "orders": 40}, seed=42)
+    o, c = made["orders"], made["customers"]
+    orphans = quality.relationships(o, "customer_id", c, "id").agg(F.count("*").alias("orphans"))
+    return o.agg(F.lit("orders").alias("table_name"), F.count("*").alias("n"), F.countDistinct("id").alias("keys"), F.count_if(~F.col("status").isin("pending", "paid", "cancelled")).alias("bad_status")).crossJoin(orphans).select("table_name", "n", "keys", "orphans", "bad_status")
