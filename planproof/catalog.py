@@ -504,7 +504,7 @@ def conv_column_naming(m):
     return conventions.column_naming(cols).select("rule", "column_name")
 
 
-@query("SELECT * FROM (VALUES ('error', 3::BIGINT), ('warn', 4::BIGINT)) t(severity, violations)")
+@query("SELECT * FROM (VALUES ('error', 5::BIGINT), ('warn', 2::BIGINT)) t(severity, violations)")
 def conv_severity_counts(m):
     n = _nodes(m)
     every = conventions.naming(n).union(conventions.layering(n, severity="error")).union(conventions.description(n))
@@ -595,3 +595,51 @@ def generate_constraints(m):
     o, c = made["orders"], made["customers"]
     orphans = quality.relationships(o, "customer_id", c, "id").agg(F.count("*").alias("orphans"))
     return o.agg(F.lit("orders").alias("table_name"), F.count("*").alias("n"), F.countDistinct("id").alias("keys"), F.count_if(~F.col("status").isin("pending", "paid", "cancelled")).alias("bad_status")).crossJoin(orphans).select("table_name", "n", "keys", "orphans", "bad_status")
+
+
+# ------------------------------------------------------------------ joins, rollups and rules of their own
+
+
+@query("SELECT a.o_orderkey, a.o_custkey, b.o_totalprice > 1000 AS is_big FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey")
+def join_shared_key(m):
+    o = m.table("orders")
+    return o.select("o_orderkey", "o_custkey").join(o.select("o_orderkey", (F.col("o_totalprice") > 1000).alias("is_big")), "o_orderkey")
+
+
+@query(f"WITH {_CTES} SELECT customer_id, count(*) AS n, sum(units)::BIGINT AS units FROM fct_orders GROUP BY customer_id")
+def rollup_generated(m):
+    return m.fct_orders().groupBy("customer_id").agg(F.count("*").alias("n"), F.sum("units").alias("units"))
+
+
+@query("SELECT l_suppkey FROM (SELECT l_suppkey + 1 AS l_suppkey FROM lineitem) l WHERE l_suppkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey)")
+def join_anti(m):
+    return quality.relationships(m.table("lineitem").select((F.col("l_suppkey") + 1).alias("l_suppkey")), "l_suppkey", m.table("supplier"), "s_suppkey")
+
+
+@query("SELECT * FROM (VALUES ('orders', 'revenue', 'semantic'), ('orders', 'count', 'bi'), ('items', 'revenue', 'config')) t(relation, metric, source)")
+def metric_first_definition(m):
+    c = metrics.Compiled
+    found = metrics.first_of_each([c("revenue", "orders")], [c("revenue", "orders", source="bi"), c("count", "orders", source="bi")], [c("count", "orders", source="config"), c("revenue", "items", source="config")])
+    return m.spark.createDataFrame([(x.relation, x.name, x.source) for x in found], "relation string, metric string, source string")
+
+
+@query("SELECT * FROM (VALUES ('description', 'stg_shop__all'), ('description', 'fct_orders')) t(rule, model)")
+def conv_description(m):
+    return conventions.description(_nodes(m)).select("rule", "model")
+
+
+@query("SELECT * FROM (VALUES (1, 'no column a in run.t'), (2, 'no column a in run.t'), (3, 'took ')) t(k, message)")
+def judge_normalised(m):
+    raw = m.spark.createDataFrame([(1, "no column `a` in head.t (line 3, pos 4)"), (2, "no column a in  base.t"), (3, "took 12 ms")], "k int, message string")
+    return raw.select("k", F.when(F.col("k") == 3, F.concat(judge.normalised_column(F.col("message")), F.lit(" "))).otherwise(judge.normalised_column(F.col("message"))).alias("message"))
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE json_valid(props)) AS valid, count(*) FILTER (WHERE json_exists(props, '$.k')) AS with_k FROM events GROUP BY 1")
+def json_valid_exists(m):
+    e = m.table("events")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(js.valid(F.col("props"))).alias("valid"), F.count_if(js.exists(F.col("props"), "k")).alias("with_k"))
+
+
+@query("SELECT 'l_shipdate' AS dimension, count(DISTINCT date_trunc('month', l_shipdate)) AS n_distinct FROM lineitem UNION ALL SELECT 'l_flags', count(DISTINCT l_returnflag || l_linestatus) FROM lineitem")
+def distinct_expressions(m):
+    return bd.distinct_counts(m.table("lineitem"), {"l_shipdate": "date_trunc('month', l_shipdate)", "l_flags": "l_returnflag || l_linestatus"})

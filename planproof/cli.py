@@ -75,7 +75,8 @@ def main(argv: list[str] | None = None) -> int:
         if Path(args.output).exists() and not args.force:
             print(f"{args.output} exists; --force replaces it", file=sys.stderr)
             return 1
-        sinks.write_text(dbml.write(schema.resolve(spark, load(str(Path(args.repo_root) / config.project_dir), config.vars)).schema), args.output)
+        found = schema.resolve(spark, load(str(Path(args.repo_root) / config.project_dir), config.vars))
+        sinks.write_text(dbml.write(schema.annotated(found)), args.output)
         return 0
     try:
         out = verify(spark, args)

@@ -32,3 +32,16 @@ def malformed(c: Column) -> Column:
 
 def variant(c: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(F.try_parse_json(c), "$." + path, _CASTS[kind])
+
+
+def valid(c: Column) -> Column:
+    return F.try_parse_json(c).isNotNull()
+
+
+def exists(c: Column, path: str) -> Column:
+    return extract(c, path).isNotNull()
+
+
+def type_of(c: Column) -> Column:
+    """The type of the whole value, as Spark names variants (BIGINT, STRING, ARRAY<...>, OBJECT<...>)."""
+    return F.schema_of_variant(F.try_parse_json(c))

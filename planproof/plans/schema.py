@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from planproof.plans import infer, jsonshape
 from planproof.plans.generate import Spec, TableSpec
-from planproof.plans.lineage import Reads, macro_columns, reads, typed_nulls, parse, placeheld
+from planproof.plans.lineage import Analysis, Reads, macro_columns, parse, pass_through, placeheld, typed_nulls
 from planproof.plans.project import Project
 from planproof.sources.dbml import ColumnDef, Schema, TableDef
 
@@ -48,19 +48,53 @@ def table_names(p: Project) -> dict[str, str]:
 
 
 def _readers(spark: SparkSession, p: Project, out: Resolved) -> dict[str, list[tuple[str, Reads]]]:
-    """Source uid -> (model, what it reads), models that hand a source's rows on included."""
+    """Source uid -> (model, what it reads). A model that reads another model's column reads the source column that this
+    is, through renames, casts and stars, as far as models keep it."""
     found: dict[str, list[tuple[str, Reads]]] = {}
-    for m in p.models.values():
+    outputs: dict[str, dict[str, tuple[str, str]]] = {}  # model -> its column -> (source uid, column)
+    whole: dict[str, str] = {}  # model -> the source whose rows and columns it hands on
+    order = [n.removeprefix("model.") for n in p.graph().ordered() if n.startswith("model.")]
+    for name in order:
+        m = p.models[name]
         try:
-            got, names = reads(spark, m.sql)
-        except (PySparkException, Exception) as e:
-            out.skipped[m.name] = str(e).split("\n")[0][:160]
+            text, names = placeheld(m.sql)
+            plan = parse(spark, text)
+            got = Analysis(plan).reads
+        except PySparkException as e:
+            out.skipped[name] = str(e).split("\n")[0][:160]
             continue
-        for key, call in names.items():
-            if call[0] == "source":
-                uid = f"source.{call[1]}.{call[2]}"
-                mine = Reads({"x": got.columns.get(key, {})}, {"x"} & ({"x"} if key in got.stars else set()), got.ambiguous, {o: c[1] for o, c in got.outputs.items() if c[0] == key}, got.grain_kept)
-                found.setdefault(uid, []).append((m.name, mine))
+        to = lambda key, c: (p.uid_of(names[key]), c) if names[key][0] == "source" else outputs.get(names[key][1], {}).get(c) or ((whole[names[key][1]], c) if names[key][1] in whole else None)
+        mine: dict[str, Reads] = {}
+        for key in names:
+            if names[key][0] == "source":
+                mine.setdefault(p.uid_of(names[key]), Reads({"x": {}}))
+                if key in got.stars:
+                    mine[p.uid_of(names[key])].stars.add("x")
+            for c, use in got.columns.get(key, {}).items():
+                if base := to(key, c):
+                    r = mine.setdefault(base[0], Reads({"x": {}}))
+                    u = r.use("x", base[1])
+                    u.casts |= use.casts
+                    u.hints |= use.hints
+                    u.json |= use.json
+        outputs[name] = {}
+        for o, (key, c) in got.outputs.items():
+            if key in names and (base := to(key, c)):
+                outputs[name][o] = base
+        for key in got.stars & set(names):
+            if names[key][0] == "ref":
+                outputs[name] |= {c: b for c, b in outputs.get(names[key][1], {}).items() if c not in outputs[name]}
+        handed = pass_through(plan)
+        if handed in names:
+            uid = p.uid_of(names[handed])
+            if uid.startswith("source."):
+                whole[name] = uid
+            elif names[handed][1] in whole:
+                whole[name] = whole[names[handed][1]]
+        for uid, r in mine.items():
+            r.grain_kept, r.ambiguous = got.grain_kept, got.ambiguous
+            r.outputs = {o: b[1] for o, b in outputs[name].items() if b[0] == uid}
+            found.setdefault(uid, []).append((name, r))
     return found
 
 
@@ -173,3 +207,12 @@ def reshaped(head: Schema, base: Schema) -> set[str]:
 def unmatched(p: Project, made: dict[str, object], names: dict[str, str]) -> tuple[list[str], list[str]]:
     """Sources that no made table serves, and tables that no source declares."""
     return sorted(u for u, n in names.items() if n not in made), sorted(n for n in made if n not in names.values())
+
+
+def annotated(r: Resolved) -> Schema:
+    """The schema with a note on each column whose type only its name suggests."""
+    for uid, names in r.guessed.items():
+        for c in r.schema.tables[r.names[uid]].columns:
+            if c.name in names and not c.note:
+                c.note = "type guessed by name"
+    return r.schema

@@ -54,7 +54,7 @@ def test_lineage_scopes(spark):
     got, _ = lineage.reads(spark, "select o.a, b, c.x from {{ source('s', 'o') }} o join {{ source('s', 'c') }} c on o.k = c.k")
     assert set(got.columns["source__s__o"]) == {"a", "k"} and set(got.columns["source__s__c"]) == {"x", "k"} and got.ambiguous == {"b"}
     assert lineage.pass_through(lineage.parse(spark, "select * from a where x")) == "a" and lineage.pass_through(lineage.parse(spark, "select a from a")) is None
-    assert lineage.typed_nulls(lineage.parse(spark, "select cast(null as bigint) id, 1 x from a")) == {"id": "bigint"}
+    assert lineage.typed_nulls(lineage.parse(spark, "select cast(null as bigint) id, 1 x from a")) == {"id": "long"}
     for sql, changed in (("select a from t", False), ("select a from t limit 1", True), ("select distinct a from t", True), ("select explode(a) from t", False), ("select a from t union all select a from u", True)):
         assert lineage.changes_grain(spark, sql) is changed
 
@@ -314,3 +314,31 @@ def test_stream_diff(spark, tmp_path):
 def test_regressions_on_large_graph_path(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c")], "parent string, child string")
     assert {r[0] for r in graph.reachable(e, ["a"]).collect()} == {"a", "b", "c"}
+
+
+def test_json_through_models(spark, tmp_path):
+    (tmp_path / "models").mkdir()
+    (tmp_path / "models/s.yml").write_text("sources: [{name: a, tables: [{name: parcels, columns: [{name: id, data_type: integer}, {name: payload, data_type: varchar}]}]}]\n")
+    (tmp_path / "models/stg.sql").write_text("select id, payload as parcel_payload from {{ source('a', 'parcels') }}")
+    (tmp_path / "models/mid.sql").write_text("select * from {{ ref('stg') }}")
+    (tmp_path / "models/mart.sql").write_text("select get_json_object(parcel_payload, '$.address.city') as city, cast(get_json_object(parcel_payload, '$.weight') as double) as w, get_json_object(upper(parcel_payload), '$.no') as no from {{ ref('mid') }}")
+    r = schema.resolve(spark, project.load(str(tmp_path)))
+    assert r.shapes == {("source.a.parcels", "payload"): {"address.city": None, "weight": "number"}}
+
+
+def test_manifest(spark, tmp_path):
+    from planproof.sources import manifest
+
+    raw = {
+        "sources": {"source.p.shop.orders": {"source_name": "shop", "name": "orders", "columns": {"id": {"name": "id", "data_type": "int64"}}}},
+        "nodes": {
+            "model.p.stg": {"resource_type": "model", "name": "stg", "raw_code": "select id from {{ source('shop', 'orders') }}", "path": "staging/stg.sql", "depends_on": {"nodes": ["source.p.shop.orders"]}, "config": {"materialized": "table"}},
+            "test.p.u": {"resource_type": "test", "name": "u", "test_metadata": {"name": "unique", "kwargs": {"column_name": "id"}}, "column_name": "id", "attached_node": "model.p.stg", "depends_on": {"nodes": ["model.p.stg"]}},
+        },
+        "metrics": {"metric.p.n": {"name": "n", "type": "simple", "type_params": {"measure": {"name": "m"}}, "filter": {"where_filters": [{"where_sql_template": "x > 1"}]}}},
+        "semantic_models": {"s": {"name": "s", "depends_on": {"nodes": ["model.p.stg"]}, "measures": [{"name": "m", "agg": "count", "expr": "id"}]}},
+    }
+    (tmp_path / "m.json").write_text(json.dumps(raw))
+    p = manifest.load(str(tmp_path / "m.json"))
+    assert p.models["stg"].layer == "staging" and p.models["stg"].materialized == "table" and p.edges == [("source.shop.orders", "model.stg")] and p.test_reads["u"] == {"model.stg"}
+    assert p.compiled_metrics()[0].sql == "count(id) filter (where cast((x > 1) as boolean))" and manifest.edges(spark, p).count() == 1
