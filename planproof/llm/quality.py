@@ -2,9 +2,10 @@
 
 Two zstandard dictionaries are built, one from good and one from bad labelled texts. A text is cut into
 blocks of fixed size; each block is compressed with either dictionary, and the difference of the
-compressed sizes, normalised by the bytes, says which kind the text resembles. A logistic curve over the
-mean difference and the share of blocks that the bad dictionary serves at least as well, fitted on labelled
-texts that no dictionary has seen, turns it into a probability. Scoring is one map over the whole texts.
+compressed sizes, normalised by the bytes (and PRIOR more, as a few bytes say little), tells which kind the text
+resembles. A logistic curve over it, the share of blocks that the bad dictionary serves at least as well, and the size
+under the good dictionary (monotonous texts shrink alike under both) turns it into a probability; it is fitted on
+labelled texts that no dictionary has seen. Scoring is one map over the whole texts.
 
 Defined cases: null and empty texts score as a text whose difference is 0; rows repeat as they are; an
 empty table gives an empty result; without labels of both kinds every score is the rate of good labels
@@ -27,6 +28,7 @@ from planproof.llm.common import blocks_of, labelled_sample, prepare, text_chunk
 MAX_FIT_ROWS = 6000
 DICT_BYTES = 112 << 10
 BLOCK = 1024
+PRIOR = 256
 LEVEL = 3
 SCHEMA = "doc_id long, score double, predicted int"
 
@@ -35,10 +37,10 @@ SCHEMA = "doc_id long, score double, predicted int"
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """(mean difference a byte, share of blocks not served better by the good dictionary)."""
+        """(difference a byte, share not served better by the good dictionary, size under the good dictionary a byte)."""
         kw = {"level": LEVEL, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
         sides = []
         for raw in (self.good, self.bad):
@@ -46,24 +48,23 @@ class Model:
             d.precompute_compress(level=LEVEL)
             sides.append(zstandard.ZstdCompressor(dict_data=d, **kw).compress)
         g, b = sides
-        out = np.zeros((len(texts), 2))
+        out = np.zeros((len(texts), 3))
         for i, x in enumerate(texts):
-            total = poor = 0
+            gain = poor = size = 0
             for a in range(0, len(x), BLOCK):
                 part = x[a : a + BLOCK]
-                gain = len(b(part)) - len(g(part))
-                total += gain
-                poor += len(part) if gain <= 0 else 0
-            if x:
-                out[i] = total / len(x), poor / len(x)
+                good, bad = len(g(part)), len(b(part))
+                gain += bad - good
+                size += good
+                poor += len(part) * (bad <= good)
+            out[i] = gain / (len(x) + PRIOR), poor / (len(x) + PRIOR), size / (len(x) + 1)
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not self.good or not self.bad:
             return np.full(len(texts), self.weights[0])
-        f = self.features(texts)
-        a, b, c = self.weights
-        return 1 / (1 + np.exp(-np.clip(a + b * f[:, 0] + c * f[:, 1], -40, 40)))
+        z = self.weights[0] + self.features(texts) @ np.array(self.weights[1:])
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -107,9 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS, seed:
     rows.sort()
     y = np.array([r[2] for r in rows])
     if not rows or y.min() == y.max():
-        return Model(b"", b"", (float(y.mean()) if rows else 0.5, 0.0, 0.0))
+        return Model(b"", b"", (float(y.mean()) if rows else 0.5,))
     half = {k: [r for r in rows if r[2] == k] for k in (0, 1)}
-    model = Model(_dictionary([r[1] for r in half[1][::2]]), _dictionary([r[1] for r in half[0][::2]]), (0.0, 0.0, 0.0))
+    model = Model(_dictionary([r[1] for r in half[1][::2]]), _dictionary([r[1] for r in half[0][::2]]), ())
     rest = half[0][1::2] + half[1][1::2] or rows
     w = _logistic(model.features([r[1] for r in rest]), np.array([r[2] for r in rest]))
     model.weights = tuple(float(v) for v in w)
