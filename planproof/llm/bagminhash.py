@@ -7,11 +7,13 @@ counts if it lies below the shingle's count. A component's signature is its earl
 agree in it with probability sum(min) / sum(max), their weighted Jaccard similarity. A text of total weight W
 needs the points before (ln m + x) / W alone: about m ln m of them, however long the text is.
 
-Texts that are the same multiset are one class, whose lowest doc_id stands for it. Representatives that share a
+Texts that are the same words are one class, whose lowest doc_id stands for it. Representatives that share a
 band are candidates. Links are tested exactly (multiset overlap of whole texts, similarity >= 0.8) without
-making all pairs of a bucket: first each member with its bucket's lowest id; then, while buckets hold members of
-several components, against random pivots, and what is left between different components pair by pair. A pair
-within one component cannot change the components, so it needs no test.
+making all pairs of a bucket: first each member with its bucket's lowest id. A pair within one component cannot
+change the components, so it needs no test; buckets of one component are done. In those left, a text goes
+out if more than a fifth of its shingles are in no other text left: it cannot overlap any by enough. What still stands
+in a bucket with another component is compared in blocks: a task holds two blocks of at most about BLOCK texts, gets
+all overlaps between them as one matrix product, and returns links between components alone, a spanning set of them.
 
 Defined cases: null and empty texts, and null ids, are near nothing and are classes of their own; a text of one to
 four words is one shingle; rows that share a doc_id are one document; an empty table gives an empty result; extra
@@ -34,6 +36,8 @@ SIZE = 5
 LEAST = 0.8
 #: Ids up to this many are broadcast to pick rows of a large table; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Texts of a bucket that one task holds at a time; larger buckets are dealt out over pairs of blocks.
+BLOCK = 512
 _STEP, _COMPONENT, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -49,17 +53,27 @@ def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, docs: int, m:
     owner, weight = doc[e], count[e]
     with np.errstate(divide="ignore"):
         bound = ((np.log(m) + x) / total)[owner] if e.size else np.zeros(0)
-    s = mix(h[e] * MULT[60] + level.astype(np.uint64) * MULT[61])
-    t = np.zeros(e.size)
+    key = mix(h[e] * MULT[60] + level.astype(np.uint64) * MULT[61])
+    t, made = np.zeros(e.size), 0
     found: list[tuple] = []
-    while s.size:
-        s = mix(s + _STEP)
-        t = t - np.log(((s >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / rate
-        on = t < bound
-        s, t, rate, bound, owner, weight, low, bits = (v[on] for v in (s, t, rate, bound, owner, weight, low, bits))
-        place = low + np.where(bits > 0, mix(s ^ _PLACE) >> (np.uint64(64) - np.maximum(bits, np.uint64(1))), np.uint64(0)).astype(np.int64)
-        hit = place < weight
-        found.append((owner[hit] * m + (mix(s[hit] ^ _COMPONENT) % np.uint64(m)).astype(np.int64), t[hit], s[hit]))
+    while key.size:
+        # Points are numbered, so one step makes many of them for each of the few intervals that still need points.
+        many = int(min(512, max(1, 65536 // key.size)))
+        s = mix(key[:, None] + np.arange(made + 1, made + many + 1, dtype=np.uint64) * _STEP)
+        gap = -np.log(((s >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / rate[:, None]
+        gap[:, 0] += t
+        at = np.cumsum(gap, axis=1)
+        i, j = np.nonzero(at < bound[:, None])
+        s, near = s[i, j], at[i, j]
+        place = low[i]
+        halved = bits[i]
+        if halved.any():
+            place = place + np.where(halved > 0, mix(s ^ _PLACE) >> (np.uint64(64) - np.maximum(halved, np.uint64(1))), np.uint64(0)).astype(np.int64)
+        hit = place < weight[i]
+        found.append((owner[i][hit] * m + (mix(s[hit] ^ _COMPONENT) % np.uint64(m)).astype(np.int64), near[hit], s[hit]))
+        on = at[:, -1] < bound
+        t, made = at[on, -1], made + many
+        key, rate, bound, owner, weight, low, bits = (v[on] for v in (key, rate, bound, owner, weight, low, bits))
     out = np.zeros(docs * m, np.uint64)
     if found:
         slot, at, who = (np.concatenate(v) for v in zip(*found))
@@ -128,10 +142,8 @@ def picked(table: DataFrame, ids: DataFrame, rows: int, how: str) -> DataFrame:
     return table.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "doc_id", how)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b, near) of each pair, by the overlap of the whole texts. Only texts of pairs are moved."""
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    texts = stored(picked(docs.select("doc_id", "text"), ids, ids.count(), "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b, near) of each pair, by the overlap of the whole texts, stored."""
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
@@ -139,65 +151,141 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFra
             near = similarity(c.column("ta"), c.column("tb")) >= least
             yield pa.RecordBatch.from_arrays([c.column("a"), c.column("b"), pa.array(near)], ["a", "b", "near"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, near boolean")
+    return stored(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, near boolean"), "tested")
+
+
+def lonely(texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id of the texts that share too few shingles with all others of the table to be near any of them."""
+
+    def run(batches):
+        for c in text_chunks(batches):
+            w = Words(c.column("text"))
+            d, h, n = multisets(*shingles(w, SIZE), w.docs)
+            ids = c.column("doc_id").to_numpy(zero_copy_only=False)
+            size = np.bincount(d, weights=n, minlength=w.docs).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[d]), pa.array(n), pa.array(size[d])], ["h", "doc_id", "n", "size"])
+
+    parts = texts.mapInArrow(run, "h long, doc_id long, n long, size long")
+    own = parts.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.max("n").alias("n"), F.max("size").alias("size")).where("doc_id = last")
+    return own.groupBy("doc_id").agg(F.sum("n").alias("own"), F.max("size").alias("size")).where(F.col("size") - F.col("own") < least * F.col("size")).select("doc_id")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes of links (a, b): the lowest id each reaches. Labels move along links and jump to
-    their label's label until nothing changes; each step is a stored table."""
+    """(node, comp) of the nodes of links (a, b): the lowest id each reaches. A step takes the lowest label along the
+    links, then that label's own label; each is a stored table, until nothing changes."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
     while True:
         reach = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(reach, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        step = stored(step, "step")
-        target = step.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        jumped = stored(step.join(target, "comp").select("node", "old", F.col("next").alias("comp")), "labels")
+        step = labels.join(reach, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("via"))
+        target = labels.select(F.col("node").alias("via"), F.col("comp").alias("next"))
+        jumped = stored(step.join(target, "via").select("node", "old", F.least("via", "next").alias("comp")), "labels")
         labels = jumped.select("node", "comp")
         if jumped.where("comp <> old").isEmpty():
             return labels
 
 
-def groups(docs: DataFrame, bands: int = BANDS, least: float = LEAST, pivots: int = 6) -> DataFrame:
+def _mixed(at: DataFrame) -> DataFrame:
+    """(band, n, members) of the buckets in which several components stand; of buckets of the same members one."""
+    parts = at.groupBy("band", "comp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members"))
+    whole = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.bit_xor("members").alias("members")).where("parts > 1")
+    return stored(whole.groupBy("n", "members").agg(F.min("band").alias("band")), "mixed")
+
+
+def overlaps(doc: np.ndarray, h: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sums of the smaller counts of each text of left and each of right. doc: index into both joined; a shingle's counts
+    become levels weighted by their steps, so the product of two 0/1 matrices is exact."""
+    order = np.lexsort((count, h))
+    doc, h, count = doc[order], h[order], count[order]
+    level = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (count[1:] != count[:-1])]))
+    fresh = np.concatenate([[True], h[level][1:] != h[level][:-1]])
+    step = np.where(fresh, count[level], np.diff(count[level], prepend=0))
+    of = np.repeat(np.arange(level.size), np.diff(np.append(level, h.size)))  # the level of each entry
+    group = np.cumsum(fresh) - 1
+    begin = np.flatnonzero(fresh)[group[of]]  # a count holds at all levels up to its own
+    many = np.diff(np.append(np.flatnonzero(fresh), level.size))
+    seen = np.bincount(group[of], minlength=many.size)
+    keep = seen[group[of]] > 1
+    doc, of, begin = doc[keep], of[keep], begin[keep]
+    reach = of - begin + 1
+    row = np.repeat(doc, reach)
+    col = np.repeat(begin, reach) + np.arange(int(reach.sum())) - np.repeat(np.cumsum(reach) - reach, reach)
+    used, col = np.unique(col, return_inverse=True)
+    weight = step[used].astype(np.float64)
+    out = np.zeros((left.size, right.size))
+    place = np.full(int(max(left.max(initial=-1), right.max(initial=-1))) + 1, -1)
+    for a in range(0, used.size, 4096):
+        mine = (col >= a) & (col < a + 4096)
+        r, c = row[mine], col[mine] - a
+        sides = []
+        for side in (left, right):
+            place[:] = -1
+            place[side] = np.arange(side.size)
+            x = np.zeros((side.size, min(4096, used.size - a)), np.float64 if weight.sum() > 1 << 24 else np.float32)
+            at = place[r]
+            x[at[at >= 0], c[at >= 0]] = 1
+            sides.append(x)
+        out += (sides[0] * weight[a : a + 4096].astype(sides[0].dtype)) @ sides[1].T
+    return out
+
+
+def block_links(table: pa.Table, least: float = LEAST) -> pa.Table:
+    """(a, b): components that a near pair of the two blocks joins, as a forest."""
+    texts, comp = table.column("text").combine_chunks(), table.column("comp").to_numpy()
+    block, i, j = (table.column(n).to_numpy() for n in ("block", "i", "j"))
+    docs = np.arange(len(texts))
+    left, right = docs[block == i[0]], docs[block == j[0]]
+    w = Words(texts)
+    d, h, n = multisets(*shingles(w, SIZE), w.docs)
+    size = np.bincount(d, weights=n, minlength=w.docs)
+    both = overlaps(d, h, n, left, right)
+    near = both >= least * (size[left][:, None] + size[right][None, :] - both)
+    x, y = np.nonzero(near & (comp[left][:, None] != comp[right][None, :]))
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c] = root.get(root[c], root[c])
+        return c
+
+    found = []
+    for a, b in zip(comp[left[x]].tolist(), comp[right[y]].tolist()):
+        a, b = top(a), top(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            found.append((min(a, b), max(a, b)))
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def groups(docs: DataFrame, bands: int = BANDS, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id for each row: the lowest doc_id of its group of near-duplicates."""
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     sig = stored(signed(docs, bands), "signed")
     known = sig.where("size > 0 and doc_id is not null")
     classes = stored(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     members = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"))
     heads = stored(members.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead"), "heads")
     buckets = stored(members.join(heads, "band"), "buckets")
-    names = stored(known.join(classes, ["f1", "f2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b"), "copies")
-    tested = stored(verified(buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), docs, least), "tested")
-    links = names.union(tested.where("near").select("a", "b"))
-    comps = components(links)
-    turn = 0
-    while True:
-        at = stored(buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp")), "at")
-        parts = at.groupBy("band", "comp").count()
-        mixed = stored(parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("sq")).where("parts > 1"), "mixed")
-        cross, rows = mixed.select(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not cross:
-            break
-        open_ = at.join(mixed.select("band"), "band", "left_semi")
-        last = cross <= max(4 * rows, 100_000) or turn >= pivots
-        if last:
-            x, y = open_.toDF("band", "a", "ca"), open_.toDF("band", "b", "cb")
-            pairs = x.join(y, "band").where("a < b and ca <> cb")
-        else:
-            order = F.xxhash64("rep", F.lit(turn))
-            pivot = open_.groupBy("band").agg(F.min_by(F.col("rep"), order).alias("a"), F.min_by(F.col("comp"), order).alias("ca"))
-            pairs = open_.toDF("band", "b", "cb").join(stored(pivot, "pivots"), "band").where("ca <> cb")
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = stored(pairs.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            new = stored(verified(fresh, docs, least), "tested")
-            tested = tested.union(new)
-            if not new.where("near").isEmpty():
-                comps = components(links := links.union(new.where("near").select("a", "b")))
-        if last:
-            break
-        turn += 1
+    ids = stored(buckets.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    texts = stored(picked(docs.select("doc_id", "text"), ids, ids.count(), "left_semi"), "texts")
+    tested = verified(buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), texts, least)
+    copies = known.join(classes, ["f1", "f2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    comps = components(copies.union(tested.where("near").select("a", "b")))
+    at = buckets.select("band", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
+    at = stored(at, "at")
+    open_ = stored(at.join(_mixed(at).select("band"), "band", "left_semi"), "open")
+    ids = stored(open_.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    texts = stored(picked(texts, ids, ids.count(), "left_semi"), "texts")
+    alone = stored(lonely(texts, least), "lonely")
+    at = stored(open_.join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left_anti"), "at")
+    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    dealt = at.join(_mixed(at), "band").withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "rep")
+    held = dealt.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("band", "i", "j", "block", "comp", "text")
+    met = stored(held.groupBy("band", "i", "j").applyInArrow(lambda t: block_links(t, least), "a long, b long").distinct(), "met")
+    if not met.isEmpty():
+        # Only components meet here, and a component is a node of its own, so labels stay links.
+        comps = components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(met))
     return sig.select("doc_id").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("class_id"))
 
 

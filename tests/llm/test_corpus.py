@@ -87,7 +87,17 @@ def test_groups_match_brute_force(spark):
     assert kept == set(want.values())
 
 
-def test_pivots_reach_all_links(spark):
+def test_overlaps():
+    rnd = np.random.default_rng(3)
+    bags = [collections.Counter(rnd.integers(0, 12, 30).tolist()) for _ in range(9)]
+    d = np.concatenate([np.full(len(b), i) for i, b in enumerate(bags)])
+    h = np.concatenate([np.array(list(b), np.uint64) for b in bags])
+    n = np.concatenate([np.array(list(b.values())) for b in bags])
+    got = bm.overlaps(d, h, n, np.arange(5), np.arange(4, 9))
+    assert got.tolist() == [[sum((bags[i] & bags[j]).values()) for j in range(4, 9)] for i in range(5)]
+
+
+def test_blocks_reach_all_links(spark):
     rnd = random.Random(9)
     base = corpus(rnd, 1, 80)[0].split()
     texts = []
@@ -96,7 +106,7 @@ def test_pivots_reach_all_links(spark):
         for k in rnd.sample(range(80), 1 + i % 3):
             w[k] = f"w{i}x{k}"
         texts.append(" ".join(w))
-    got = {r["doc_id"]: r["class_id"] for r in bm.groups(docs(spark, texts), pivots=1).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in bm.groups(docs(spark, texts), block=16).collect()}
     assert got == brute_groups(texts)
 
 
