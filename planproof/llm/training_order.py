@@ -97,6 +97,11 @@ def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = Non
     return docs.select("doc_id", "text").mapInArrow(run, SEQUENCES)
 
 
+def _store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a URI; Hadoop's name of S3 is the same store."""
+    return pafs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+
+
 def _write(fs: pafs.FileSystem, path: str, data: list[bytes]) -> None:
     mine = f"{path}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(mine) as out:
@@ -134,7 +139,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: i
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
     def write(batches):
-        fs, top = pafs.FileSystem.from_uri(folder)
+        fs, top = _store(folder)
         fs.create_dir(top, recursive=True)
 
         def close(shard, rows):
@@ -165,7 +170,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: i
 
 def read_slots(folder: str, first: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD):
     """Sequences first, first + 1, ... in training order, as arrays of ids: a sequential read that resumes anywhere."""
-    fs, top = pafs.FileSystem.from_uri(folder)
+    fs, top = _store(folder)
     stride = 2 * length
     while count > 0:
         shard, at = divmod(first, per_shard)
