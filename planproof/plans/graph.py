@@ -89,8 +89,8 @@ class Graph:
 
 
 def reachable(edges: DataFrame, seeds: list[str], up: bool = False) -> DataFrame:
-    """node, depth over an edge table (parent, child): breadth first, one join a level, levels cut by checkpoints only
-    where the caller needs them. For graphs too large for a driver."""
+    """node, depth over an edge table (parent, child): breadth first, one join a level. A level is a project's size, so it is
+    held on the driver; with planproof.graph.onDriver=false levels are checkpoints, for edge tables of any size."""
     a, b = ("child", "parent") if up else ("parent", "child")
     step = edges.select(F.col(a).alias("at"), F.col(b).alias("node")).distinct()
     spark = edges.sparkSession
