@@ -36,8 +36,8 @@ SIZE = 5
 LEAST = 0.8
 #: Ids up to this many are broadcast to pick rows of a large table; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Texts of a bucket that one task holds at a time; larger buckets are dealt out over pairs of blocks.
-BLOCK = 512
+#: Texts of a bucket, and shingles of them, that one task holds at a time; larger buckets are dealt out over pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 _STEP, _COMPONENT, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -186,10 +186,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _mixed(at: DataFrame) -> DataFrame:
-    """(band, n, members) of the buckets in which several components stand; of buckets of the same members one."""
-    parts = at.groupBy("band", "comp").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members"))
-    whole = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.bit_xor("members").alias("members")).where("parts > 1")
-    return stored(whole.groupBy("n", "members").agg(F.min("band").alias("band")), "mixed")
+    """(band, n, members, weight) of the buckets in which several components stand; of buckets of the same members one."""
+    parts = at.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"), F.sum("size").alias("weight"))
+    whole = parts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("members").alias("members"), F.sum("weight").alias("weight")).where("parts > 1")
+    return stored(whole.groupBy("n", "members", "weight").agg(F.min("band").alias("band")), "mixed")
 
 
 def overlaps(doc: np.ndarray, h: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -263,7 +263,7 @@ def groups(docs: DataFrame, bands: int = BANDS, least: float = LEAST, block: int
     sig = stored(signed(docs, bands), "signed")
     known = sig.where("size > 0 and doc_id is not null")
     classes = stored(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    members = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"))
+    members = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.explode("bands").alias("band"), F.col("doc_id").alias("rep"), "size")
     heads = stored(members.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead"), "heads")
     buckets = stored(members.join(heads, "band"), "buckets")
     ids = stored(buckets.select(F.col("rep").alias("doc_id")).distinct(), "ids")
@@ -271,14 +271,14 @@ def groups(docs: DataFrame, bands: int = BANDS, least: float = LEAST, block: int
     tested = verified(buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), texts, least)
     copies = known.join(classes, ["f1", "f2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     comps = components(copies.union(tested.where("near").select("a", "b")))
-    at = buckets.select("band", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
+    at = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
     at = stored(at, "at")
     open_ = stored(at.join(_mixed(at).select("band"), "band", "left_semi"), "open")
     ids = stored(open_.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     texts = stored(picked(texts, ids, ids.count(), "left_semi"), "texts")
     alone = stored(lonely(texts, least), "lonely")
     at = stored(open_.join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left_anti"), "at")
-    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    parts = F.ceil(F.greatest(F.col("n") / block, F.col("weight") / BLOCK_SHINGLES)).cast("int")
     dealt = at.join(_mixed(at), "band").withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "rep")
     held = dealt.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("band", "i", "j", "block", "comp", "text")
