@@ -68,7 +68,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `limit` bytes of `column` each (a longer single text is one slice)."""
     for batch in batches:
         if not batch.num_rows:

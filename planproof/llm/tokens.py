@@ -41,7 +41,7 @@ def encoder(path: str):
 class WordIds(dict):
     """Word -> bytes of the ids of a space and the word; code is an array code: H 2 bytes, I 4 bytes, little-endian."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, path: str, code: str):
         super().__init__()
