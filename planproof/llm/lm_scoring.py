@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planproof.llm.common import blocks_of, prepare, text_chunks
+from planproof.llm.common import blocks_of, prepare, stored, text_chunks
 from planproof.llm.textblock import MULT, Words, mix
 
 SLOTS = 1 << 22
@@ -30,6 +30,8 @@ PRIOR = 200.0
 BEGIN = MULT[55]
 TOKENS = -1
 _FLUSH = 6_000_000
+#: Target ids up to this many are broadcast, so no text moves; more are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def slots_of(w: Words, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +54,9 @@ def counts(docs: DataFrame, labels: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(slot, b, t): background and target counts; slot -1 has the tokens."""
     prepare(docs.sparkSession)
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select("doc_id", F.lit(True).alias("target"))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    good = stored(good, "targets")
+    side = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
+    marked = docs.select("doc_id", "text").join(side, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
     def run(batches):
         held = {True: ([], 0, 0), False: ([], 0, 0)}
