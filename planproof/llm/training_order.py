@@ -1,7 +1,8 @@
 """Training-order materialisation: fixed-length token sequences in a keyed global order, as fixed-stride shards.
 
 Documents are tokenised once; the ids of each input partition, a closing id after each document, are cut into
-sequences of `length` ids (the last one of a partition is padded with the closing id), and stored. The stored table
+sequences of `length` ids (the last one of a partition is padded with the closing id), and stored, each compressed by
+zstandard with a dictionary of a few hundred documents, as the table and the shuffle hold all ids. The stored table
 fixes their numbers 0 to N - 1: by partition, then by place. A Feistel network over the next even power of two
 permutes those numbers under a key; a value from N on is sent through again (cycle-walking) until it is below N,
 which is a permutation of 0 to N - 1 without a table. Slot s lies in shard s // per_shard at byte
@@ -22,6 +23,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ LENGTH = 2048
 PER_SHARD = 2048
 KEY = 20240611
 ROUNDS = 6
+#: Documents, and characters of each, that the compression's dictionary sees. They change sizes alone.
+SAMPLE, SAMPLE_CHARS, DICT_BYTES, LEVEL = 300, 20_000, 64 << 10, 6
 
 
 def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -51,11 +55,21 @@ def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def dictionary(docs: DataFrame, length: int, tokenizer: str) -> bytes:
+    words = word_ids(tokenizer, "H")
+    raw = b"".join(words.text(r[0]) for r in docs.where("text is not null").select(F.left("text", F.lit(SAMPLE_CHARS))).limit(SAMPLE).collect())
+    parts = [raw[a : a + 2 * length] for a in range(0, len(raw), 2 * length)]
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, [p for p in parts if len(p) > 8]).as_bytes()
+    except zstandard.ZstdError:  # too little to learn from
+        return b""
+
+
 SEQUENCES = "part int, place long, ids binary, n_ids int, spans array<struct<doc_id:long,start:long,length:int,at:int>>"
 
 
-def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
-    """Sequences of each input partition with the spans (doc_id, start in the document, length, place) they hold."""
+def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, end_id: int = 0, learnt: bytes = b"") -> DataFrame:
+    """Compressed sequences of each input partition with the spans (doc_id, start in the document, length, place) they hold."""
     prepare(docs.sparkSession)
     path = tokenizer or default_path()
     span = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("at", pa.int32())]))
@@ -64,6 +78,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = Non
     def run(batches):
         from pyspark import TaskContext
 
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(learnt)).compress
         part, words = TaskContext.get().partitionId(), word_ids(path, "H")
         close = end_id.to_bytes(2, "little")
         size, place = 2 * length, 0
@@ -85,12 +100,12 @@ def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = Non
                     buffer += raw[start : start + take]
                     start += take
                     if len(buffer) == size:
-                        done.append((part, place, bytes(buffer), length, spans))
+                        done.append((part, place, pack(bytes(buffer)), length, spans))
                         buffer, spans, place = bytearray(), [], place + 1
             if len(done) >= 256:
                 yield flush()
         if buffer:
-            done.append((part, place, bytes(buffer) + close * ((size - len(buffer)) // 2), len(buffer) // 2, spans))
+            done.append((part, place, pack(bytes(buffer) + close * ((size - len(buffer)) // 2)), len(buffer) // 2, spans))
         if done:
             yield flush()
 
@@ -114,7 +129,8 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: i
     """Writes the shards to folder (a URI all nodes reach) and returns, per span of a document, where it was written:
     doc_id, start, length, slot, shard, offset (ids, in the shard), ids_crc32 (of the ids read back from the shard)."""
     spark = prepare(docs.sparkSession)
-    seqs = stored(sequences(docs, length, tokenizer), "sequences")
+    learnt = dictionary(docs, length, tokenizer or default_path())
+    seqs = stored(sequences(docs, length, tokenizer, learnt=learnt), "sequences")
     sizes = seqs.groupBy("part").count()
     # One row a task, not a document: the counts of the tasks before each.
     totals = {r[0]: r[1] for r in sizes.collect()}
@@ -154,6 +170,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: i
             cols = list(zip(*found))
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], names)
 
+        unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(learnt)).decompress
         shard, rows = None, []
         for c in batches:
             for s, slot, ids, spans in zip(*(c.column(x).to_pylist() for x in ("shard", "slot", "ids", "spans"))):
@@ -161,7 +178,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: i
                     yield close(shard, rows)
                     rows = []
                 shard = s
-                rows.append((slot, ids, spans))
+                rows.append((slot, unpack(ids), spans))
         if rows:
             yield close(shard, rows)
 
@@ -174,7 +191,10 @@ def read_slots(folder: str, first: int, count: int, length: int = LENGTH, per_sh
     stride = 2 * length
     while count > 0:
         shard, at = divmod(first, per_shard)
-        with fs.open_input_file(f"{top}/shard-{shard:08d}.bin") as f:
+        path = f"{top}/shard-{shard:08d}.bin"
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return
+        with fs.open_input_file(path) as f:
             f.seek(at * stride)
             raw = f.read(stride * min(count, per_shard - at))
         got = np.frombuffer(raw, "<u2").reshape(-1, length)
