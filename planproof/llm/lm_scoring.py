@@ -1,13 +1,19 @@
 """Cross-entropy difference of two n-gram models.
 
 The target model counts the documents labelled good, the background model counts all documents. Both are bigram
-models with Dirichlet back-off to unigrams, over one hashed vocabulary of fixed size; the background's counts are
+models with Dirichlet back-off to unigrams; the background's counts are
 scaled to the target's number of tokens, so both trust their counts alike. A document's score is its
 mean loss a token under the background model less that under the target model: higher is more like the target.
 
-Counts cover every token of every document. Each task sums its own counts by slot, Spark adds them up by
-slot, and the finished table has a fixed number of slots, so its size does not grow with the corpus and it can be
-broadcast. Scoring is one map.
+Counts cover every token of every document, and each n-gram has a count of its own: keys are hashes of 63 bits and
+one bit that keeps unigrams and contexts apart from bigrams. Nothing of the model comes to the driver or is
+broadcast; what is gathered grows with the corpus:
+
+1. Each task codes its documents in blocks of about BLOCK tokens; the blocks are stored.
+2. Each block sends its distinct keys with their counts, cut by ranges of keys, to the parts of the model. There are as
+   many parts as the corpus needs, so a part stays at about PART tokens.
+3. Each part adds up its keys and answers every block with the sums, in the block's order.
+4. Blocks and their answers are joined, and the block's documents are scored.
 
 Defined cases: null and empty texts have no tokens and null losses and score; null or repeated labels count as the
 highest of the id; repeated rows count and score as often as they stand; without target documents its model is
@@ -18,108 +24,165 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planproof.llm.common import blocks_of, prepare, stored, text_chunks
+from planproof.llm.common import prepare, stored, text_chunks
 from planproof.llm.textblock import MULT, Words, mix
 
-SLOTS = 1 << 22
+#: A word of no document has a count of one among so many.
 VOCABULARY = 1 << 20
 PRIOR = 200.0
 BEGIN = MULT[55]
-TOKENS = -1
-_FLUSH = 6_000_000
+BLOCK = 1 << 21
+PART = 1 << 21
 #: Target ids up to this many are broadcast, so no text moves; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-
-
-def slots_of(w: Words, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of each token's unigram, of the one before it (a text's first token follows BEGIN), and of the bigram."""
-    before = np.concatenate([[BEGIN], w.hash[:-1]]) if w.hash.size else w.hash
-    if w.hash.size:
-        before[w.first[w.n > 0]] = BEGIN
-    last = np.uint64(slots - 1)
-    one = lambda h: (mix(h * MULT[10]) & last).astype(np.int64)
-    return one(w.hash), one(before), (mix(before * MULT[11] + w.hash * MULT[12]) & last).astype(np.int64)
-
-
-def _counted(parts: list[np.ndarray], target: bool, tokens: int) -> pa.RecordBatch:
-    slot, n = np.unique(np.concatenate(parts), return_counts=True)
-    slot, n = np.append(slot, TOKENS), np.append(n, tokens)
-    return pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n), pa.array(n if target else np.zeros_like(n))], ["slot", "b", "t"])
-
-
-def counts(docs: DataFrame, labels: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(slot, b, t): background and target counts; slot -1 has the tokens."""
+BLOCKS = "block long, ids array<long>, lengths array<int>, target array<boolean>, n long, n_target long, words binary, tokens binary"
+SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+
+
+def packed(a: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
+
+
+def unpacked(raw: bytes, kind) -> np.ndarray:
+    b = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(b.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+class Block:
+    """Documents as word numbers. keys: distinct n-grams, sorted; b and t: their counts in all and in target documents.
+
+    one, two and before are the places in keys of each word, of each distinct bigram, and of its context; pair is the
+    number of each token's bigram, word the word of each distinct bigram."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, target: np.ndarray):
+        begin = words.size
+        words = np.append(words, BEGIN)
+        start = (np.cumsum(lengths) - lengths)[lengths > 0]
+        before = np.concatenate([[begin], tokens[:-1]]).astype(np.int64)
+        before[start] = begin
+        pairs, self.pair = np.unique(before * words.size + tokens, return_inverse=True)
+        before, self.word = pairs // words.size, pairs % words.size
+        one = mix(words * MULT[10]) & ~np.uint64(1)
+        two = mix(words[before] * MULT[11] + words[self.word] * MULT[12]) | np.uint64(1)
+        keys = np.concatenate([one, two])
+        order = np.argsort(keys)
+        place = np.empty(order.size, np.int64)
+        place[order] = np.arange(order.size)
+        self.keys, self.one, self.two = keys[order], place[: words.size], place[words.size :]
+        self.before = self.one[before]
+        chosen = np.repeat(target, lengths)
+        self.b, self.t = (
+            # BEGIN is a context as often as texts begin
+            np.concatenate([np.bincount(w, minlength=begin), [n], np.bincount(p, minlength=two.size)])[order]
+            for w, n, p in ((tokens, start.size, self.pair), (tokens[chosen], int((target & (lengths > 0)).sum()), self.pair[chosen]))
+        )
+
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        return cls(unpacked(row["words"], np.uint64), unpacked(row["tokens"], np.int32), np.array(row["lengths"], np.int64), np.array(row["target"], bool))
+
+    def losses(self, counts: np.ndarray, scale: float, tokens: float) -> np.ndarray:
+        """Loss of each token under the model with these counts of the keys, in their order."""
+        c = counts * scale
+        unigram = (c[self.one[self.word]] + 1) / (tokens * scale + VOCABULARY)
+        return -np.log((c[self.two] + PRIOR * unigram) / (c[self.before] + PRIOR))[self.pair]
+
+
+def _stored_row(number: int, held: list) -> pa.RecordBatch:
+    ids, lengths, target, hashes = (np.concatenate(v) if k else sum(v, []) for k, v in enumerate(zip(*held)))
+    words, token, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")  # frequent words have low numbers, which compress better
+    place = np.empty(order.size, np.int32)
+    place[order] = np.arange(order.size)
+    cols = ([number], [ids], [lengths], [target], [hashes.size], [int(lengths[target].sum())], [packed(words[order])], [packed(place[token])])
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], [f.split()[0] for f in BLOCKS.split(", ")])
+
+
+def blocks(docs: DataFrame, labels: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The documents in stored blocks."""
     prepare(docs.sparkSession)
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select("doc_id", F.lit(True).alias("target"))
     good = stored(good, "targets")
     side = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
-    marked = docs.select("doc_id", "text").join(side, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    marked = docs.select("doc_id", "text").join(side, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
 
     def run(batches):
-        held = {True: ([], 0, 0), False: ([], 0, 0)}
+        number, held, n = TaskContext.get().partitionId() << 32, [], 0
         for c in text_chunks(batches):
-            for kind in (True, False):
-                part = c.filter(c.column("target") if kind else pa.compute.invert(c.column("target")))
-                w = Words(part.column("text"))
-                if not w.hash.size:
+            w = Words(c.column("text"))
+            held.append((c.column("doc_id").cast(pa.int64()).to_pylist(), w.n.astype(np.int32), c.column("target").to_numpy(zero_copy_only=False).astype(bool), w.hash))
+            n += w.hash.size + c.num_rows
+            if n >= size:
+                yield _stored_row(number, held)
+                number, held, n = number + 1, [], 0
+        if held:
+            yield _stored_row(number, held)
+
+    return stored(marked.mapInArrow(run, BLOCKS), "blocks")
+
+
+def answers(coded: DataFrame, parts: int) -> DataFrame:
+    """(block, part, b, t): the whole corpus' counts of each block's keys, those of a part in one row."""
+
+    def ask(batches):
+        cuts = -(np.arange(1, parts, dtype=object) * -(1 << 64) // parts)  # part k has the keys from cut k on
+        cuts = np.array([int(x) for x in cuts], np.uint64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if not row["n"]:
                     continue
-                one, before, two = slots_of(w, slots)
-                starts = before[w.first[w.n > 0]]  # BEGIN is a context as often as texts begin
-                parts, size, tokens = held[kind]
-                parts += [one.astype(np.int32), two.astype(np.int32), starts.astype(np.int32)]
-                held[kind] = parts, size + 2 * one.size, tokens + one.size
-                if held[kind][1] > _FLUSH:
-                    yield _counted(parts, kind, held[kind][2])
-                    held[kind] = [], 0, 0
-        for kind, (parts, _, tokens) in held.items():
-            if parts:
-                yield _counted(parts, kind, tokens)
-
-    return marked.mapInArrow(run, "slot int, b long, t long").groupBy("slot").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-
-
-class Model:
-    """Dense tables (target, background) of float32 and their tokens."""
-
-    def __init__(self, rows: pa.Table, slots: int = SLOTS):
-        slot, b, t = (rows[n].to_numpy() for n in ("slot", "b", "t"))
-        self.slots = slots
-        self.tables = np.zeros((2, slots), np.float32)
-        self.tokens = [0.0, 0.0]
-        for k, n in enumerate((t, b)):
-            self.tokens[k] = float(n[slot == TOKENS].sum())
-            self.tables[k, slot[slot >= 0]] = n[slot >= 0]
-        if self.tokens[0] and self.tokens[1]:
-            self.tables[1] *= self.tokens[0] / self.tokens[1]
-            self.tokens[1] = self.tokens[0]
-
-    def losses(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        one, before, two = slots_of(w, self.slots)
+                x = Block.of(row)
+                edge = [0, *np.searchsorted(x.keys, cuts).tolist(), x.keys.size]
+                rows = [
+                    (p, row["block"], packed(np.diff(x.keys[i:j], prepend=np.uint64(0))), packed(x.b[i:j]), packed(x.t[i:j]))
+                    for p, (i, j) in enumerate(zip(edge, edge[1:])) if i < j
+                ]
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], ["part", "block", "keys", "b", "t"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in rows.column("keys")]
+        edge = np.cumsum([0, *map(len, keys)])
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
         out = []
-        for table, tokens in zip(self.tables, self.tokens):
-            unigram = (table[one].astype(np.float64) + 1) / (tokens + VOCABULARY)
-            p = (table[two] + PRIOR * unigram) / (table[before].astype(np.float64) + PRIOR)
-            out.append(np.bincount(w.doc, weights=-np.log(p), minlength=w.docs) / np.maximum(w.n, 1))
-        return out[0], out[1]
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches):
-        for c in text_chunks(batches):
-            w = Words(c.column("text"))
-            t, b = shared.value.losses(w)
-            empty = w.n == 0
-            cols = [pa.array(np.round(v, 9), mask=empty) for v in (t, b, b - t)]
-            yield pa.RecordBatch.from_arrays([c.column("doc_id").cast(pa.int64()), pa.array(w.n.astype(np.int64)), *cols], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, slots: int = SLOTS) -> DataFrame:
-    return score(docs, Model(blocks_of(counts(docs, labels, slots)), slots))
+        for name in ("b", "t"):
+            n = np.concatenate([unpacked(x.as_py(), np.int64) for x in rows.column(name)])
+            total = np.bincount(at, weights=n).astype(np.int64)  # exact below 2^53
+            out.append(pa.array([packed(total[at[i:j]]) for i, j in zip(edge, edge[1:])], pa.binary()))
+        return pa.table([rows.column("block"), rows.column("part"), *out], ["block", "part", "b", "t"])
+
+    asked = coded.select("block", "lengths", "target", "n", "words", "tokens").mapInArrow(ask, "part int, block long, keys binary, b binary, t binary")
+    return asked.groupBy("part").applyInArrow(add, "block long, part int, b binary, t binary")
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, block: int = BLOCK, part: int = PART) -> DataFrame:
+    coded = blocks(docs, labels, block)
+    all_tokens, target_tokens = (int(v or 0) for v in coded.agg(F.sum("n"), F.sum("n_target")).first())
+    scale = target_tokens / all_tokens if target_tokens else 1.0
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        n = np.array(row["lengths"], np.int64)
+        means = np.zeros((2, n.size))
+        if row["n"]:
+            x = Block.of(row)
+            right = right.sort_by("part")
+            doc = np.repeat(np.arange(n.size), n)
+            for k, (name, by, of) in enumerate((("t", 1.0, target_tokens), ("b", scale, all_tokens))):
+                counts = np.concatenate([unpacked(v.as_py(), np.int64) for v in right.column(name)])
+                means[k] = np.bincount(doc, weights=x.losses(counts, by, of), minlength=n.size) / np.maximum(n, 1)
+        t, b = means
+        cols = [pa.array(np.round(v, 9), mask=n == 0) for v in (t, b, b - t)]
+        return pa.table([pa.array(row["ids"], pa.int64()), pa.array(n), *cols], [f.split()[0] for f in SCORES.split(", ")])
+
+    asked = answers(coded, max(1, -(-all_tokens // part)))
+    return coded.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(score, SCORES)

@@ -279,6 +279,24 @@ def test_lm_matches_plain_counts(spark):
     assert lm_scoring.cross_entropy_difference(spark.createDataFrame([], DOCS), labels).count() == 0
 
 
+def test_lm_counts_stay_exact_as_the_corpus_grows(spark):
+    """More distinct n-grams than any table of 2^22 slots tells apart; blocks and parts of any size score alike."""
+    words = 25
+    texts = [" ".join(f"w{i}x{j}" for j in range(words)) for i in range(100_000)] + ["one two one three", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    got = lm_scoring.cross_entropy_difference(table, labels, block=200_000, part=500_000)
+    scale, starts = words / (100_000 * words + 4), 100_001
+    one = (scale + 1) / (words + lm_scoring.VOCABULARY)
+
+    def loss(context):
+        return -np.log((scale + lm_scoring.PRIOR * one) / (context + lm_scoring.PRIOR))
+
+    want = (loss(starts * scale) + (words - 1) * loss(scale)) / words  # each n-gram of these documents occurs once
+    low, high, n = got.where("doc_id between 0 and 99999").agg(F.min("background_loss"), F.max("background_loss"), F.count("*")).first()
+    assert n == 100_000 and got.count() == 100_002 and low == pytest.approx(want, abs=1e-8) and high == pytest.approx(want, abs=1e-8)
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     d = "/root/testdata/sf0.01"
