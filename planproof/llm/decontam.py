@@ -4,7 +4,9 @@ Texts become token sequences in which numbers, units after numbers and (in a sec
 placeholders. Windows of eight tokens are hashed; windows of documents that may be in the benchmark (a fixed-size
 bitmap says so) are joined by hash with the benchmark's. Windows of a document and an item that lie on
 one diagonal are one alignment; its slots must be consistent: a slot value of the item always stands for the same
-value in the document. A document is contaminated by an item if consistent windows cover half of the item's
+value in the document. Where it has several there, it stands for itself if that is one of them, else for the one in most
+windows; only windows that contradict this are dropped, so those with the item's own values always count.
+A document is contaminated by an item if consistent windows cover half of the item's
 windows, or if 13 tokens in a row agree. Changed numbers, units or names are `reparameterised`.
 
 Reading 0 keeps names as lower-cased words; reading 1 masks capitalised words, a run of them as one. A window
@@ -17,6 +19,8 @@ empty result; extra columns are ignored by `pairs` and kept by `clean`.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,6 +52,7 @@ _CLASS[48:58] = 2
 _ENDS = np.zeros(256, np.int8)
 _ENDS[[ord(c) for c in ".!?:\n"]] = 1
 ROWS = "id long, reading int, size int, pos int, hash long, slots array<long>"
+LINES = "doc_id long, item_id long, reading int, size int, at array<int>, line int, changed boolean"
 
 
 def _lowered(b: np.ndarray) -> np.ndarray:
@@ -148,6 +153,35 @@ def windows(rows: DataFrame, key: str, sizes, whole: bool, bitmap: np.ndarray |
     return rows.select(key, "text").mapInArrow(run, ROWS)
 
 
+def consistent(line: list[dict]) -> tuple[list[int], int]:
+    """Positions of the windows (at, theirs, slots) of one alignment that do not contradict, and most of them in a row."""
+    pairs = [set(zip(w["theirs"], w["slots"])) for w in line]
+    stands: dict[int, Counter] = {}
+    for p in pairs:
+        alone = len({a for a, _ in p}) == len(p)
+        for a, b in p:
+            stands.setdefault(a, Counter())[b] += alone
+    chosen = {a: a if a in n else max(n, key=lambda b: (n[b], -b)) for a, n in stands.items()}
+    kept = {w["at"] for w, p in zip(line, pairs) if all(chosen[a] == b for a, b in p)}
+    longest = run = 0
+    for at in sorted({w["at"] for w in line}):  # only dropped windows end a run
+        run = run + 1 if at in kept else 0
+        longest = max(longest, run)
+    return sorted(kept), longest
+
+
+def _aligned(batches):
+    for c in batches:
+        rows = []
+        for *key, line in zip(*(x.to_pylist() for x in c.columns)):
+            at, longest = consistent(line)
+            if at:
+                rows.append((*key, at, longest, any(w["theirs"] != w["slots"] for w in line)))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.bool_())
+        names = [f.split()[0] for f in LINES.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names)
+
+
 def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, longest_run, reparameterised of each contaminated document and item."""
     items = stored(windows(benchmark, "item_id", range(SHORTEST, WINDOW + 1), True), "items").dropDuplicates(["id", "reading", "size", "pos", "hash"])
@@ -161,12 +195,9 @@ def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     side = F.broadcast(side) if items.count() <= BROADCAST_ROWS else side
     met = found.withColumnRenamed("id", "doc_id").join(side, ["reading", "size", "hash"])
     key = ["doc_id", "item_id", "reading", "size"]
-    lines = met.groupBy(*key, (F.col("pos") - F.col("at")).alias("shift")).agg(
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("theirs", "slots")))).alias("slots"), F.collect_set("at").alias("at")
-    )
-    theirs = F.array_distinct(F.transform("slots", lambda s: s["theirs"]))
-    lines = lines.where(F.size("slots") == F.size(theirs)).withColumn("changed", F.exists("slots", lambda s: s["theirs"] != s["slots"]))
-    sums = lines.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.max(F.size("at")).alias("line"), F.min("changed").alias("changed"))
+    lines = met.groupBy(*key, (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set(F.struct("at", "theirs", "slots")).alias("line"))
+    lines = lines.select(*key, "line").mapInArrow(_aligned, LINES)
+    sums = lines.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.max("line").alias("line"), F.min("changed").alias("changed"))
     total = items.groupBy(F.col("id").alias("item_id"), "reading", "size").agg(F.count("*").alias("of"))
     scored = sums.join(total, ["item_id", "reading", "size"]).withColumn("coverage", F.col("n") / F.col("of")).withColumn("run", F.col("line") + F.col("size") - 1)
     hit = scored.where((F.col("coverage") >= COVER) | (F.col("run") >= RUN))

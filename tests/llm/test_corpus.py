@@ -137,6 +137,21 @@ def test_templates(spark):
     assert kept == {2, 3, 4, 7}
 
 
+def test_only_contradicting_windows_are_dropped(spark):
+    rnd = random.Random(12)
+    head, middle, tail = corpus(rnd, 3, 18)
+    item = f"{head} in 1990 {middle} in 1990 {tail}"
+    edited = f"{head} in 1990 {middle} in 1991 {tail}"
+    recipe = "Stir 2 cups of dry rice into the broth then cover the pot and simmer it gently for 2 hours before serving"
+    texts = [edited, recipe.replace("2 cups", "3 cups").replace("2 hours", "5 hours"), f"{corpus(rnd, 1)[0]} {item}"]
+    bench = spark.createDataFrame([(1, item), (2, recipe)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.pairs(docs(spark, texts), bench).collect()}
+    assert set(got) == {(0, 1), (1, 2), (2, 1)}
+    # 51 windows, 8 of them with the edited number; before it stand 39 tokens
+    assert got[0, 1]["n_windows"] == 51 - 8 and got[0, 1]["longest_run"] == 39 and got[0, 1]["reparameterised"]
+    assert got[1, 2]["reparameterised"] and got[2, 1]["coverage"] == 1 and not got[2, 1]["reparameterised"]
+
+
 def test_decontam_edges(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.pairs(docs(spark, ["a b c d e f g h i"]), none).count() == 0
