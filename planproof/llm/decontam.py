@@ -7,10 +7,12 @@ one diagonal are one alignment; its slots must be consistent: a slot value of th
 value in the document. Where it has several there, it stands for itself if that is one of them, else for the one in most
 windows; only windows that contradict this are dropped, so those with the item's own values always count.
 A document is contaminated by an item if consistent windows cover half of the item's
-windows, or if 13 tokens in a row agree. Changed numbers, units or names are `reparameterised`.
+windows (all, or the template ones), or if 13 tokens in a row agree. Changed numbers, units or names are `reparameterised`.
 
-Reading 0 keeps names as lower-cased words; reading 1 masks capitalised words, a run of them as one. A window
-needs five plain words at least (a shorter item three fifths), so placeholders alone match nothing.
+Reading 0 keeps names as lower-cased words; reading 1 masks capitalised words, a run of them as one. A template window
+needs five plain words at least (a shorter item three fifths), so placeholders alone match nothing. Windows of reading 0
+with fewer are hashed by their tokens as they stand and match verbatim only. Coverage is the
+greater of the shares of all windows and of the template windows.
 
 Defined cases: null and empty texts, null ids and items of fewer than five tokens match nothing; items of five to
 seven tokens are one window; repeated rows of documents give one pair; an empty table on either side gives an
@@ -45,14 +47,14 @@ UNITS = (
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh degrees degree percent dollars dollar euros euro cents cent usd eur "
     "watt watts volt volts hz khz mhz kb mb gb tb"
 ).split()
-NUMBER, UNIT, NAME = (MULT[i] for i in (40, 41, 42))
+NUMBER, UNIT, NAME, RAW = (MULT[i] for i in (40, 41, 42, 43))
 _CLASS = np.zeros(256, np.int8)
 _CLASS[[*range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
 _CLASS[48:58] = 2
 _ENDS = np.zeros(256, np.int8)
 _ENDS[[ord(c) for c in ".!?:\n"]] = 1
-ROWS = "id long, reading int, size int, pos int, hash long, slots array<long>"
-LINES = "doc_id long, item_id long, reading int, size int, at array<int>, line int, changed boolean"
+ROWS = "id long, reading int, size int, pos int, hash long, template boolean, slots array<long>"
+LINES = "doc_id long, item_id long, reading int, size int, at array<int>, templates array<int>, line int, changed boolean"
 
 
 def _lowered(b: np.ndarray) -> np.ndarray:
@@ -98,24 +100,28 @@ class Tokens:
         self.readings = ((doc, code, value, plain), (doc[head], masked[head], whole, (plain & ~name)[head]))
 
     def windows(self, reading: int, size: int, whole: bool = False):
-        """(first token, its position in the text, hash) of each window of `size` tokens with plain words enough;
+        """(first token, its position in the text, hash, template) of each window of `size` tokens; those with too few
+        plain words are no templates: reading 0 has them by the hash of their raw tokens, reading 1 not at all.
         whole: of texts of just that many tokens."""
-        doc, code, _, plain = self.readings[reading]
+        doc, code, value, plain = self.readings[reading]
         n = np.bincount(doc, minlength=self.docs) if doc.size else np.zeros(self.docs, np.int64)
         first = np.cumsum(n) - n
         if doc.size < size:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
         k = doc.size - size + 1
         h, good = np.zeros(k, np.uint64), np.zeros(k, np.int64)
         for i in range(size):
             h += code[i : i + k] * MULT[i]
             good += plain[i : i + k]
         least = PLAIN if size == WINDOW else -(-3 * size // 5)
-        ok = (doc[:k] == doc[size - 1 :]) & (good >= least)
+        template = good >= least
+        ok = (doc[:k] == doc[size - 1 :]) & (template | (reading == 0))
         if whole:
             ok &= n[doc[:k]] == size
+        raw = np.flatnonzero(ok & ~template)
+        h[raw] = sum((value[raw + i] * MULT[i] for i in range(size)), np.zeros(raw.size, np.uint64)) ^ RAW
         i = np.flatnonzero(ok)
-        return i, i - first[doc[i]], mix(h[i] ^ np.uint64(size * 2 + reading))
+        return i, i - first[doc[i]], mix(h[i] ^ np.uint64(size * 2 + reading)), template[i]
 
     def slots(self, reading: int, i: int, size: int) -> list[int]:
         _, _, value, plain = self.readings[reading]
@@ -126,21 +132,22 @@ class Tokens:
 def _rows(c: pa.RecordBatch, key: str, sizes, whole: bool, bitmap: np.ndarray | None) -> pa.RecordBatch:
     t = Tokens(c.column("text"))
     ids = c.column(key).to_pylist()
-    cols: list[list] = [[] for _ in range(6)]
+    cols: list[list] = [[] for _ in range(7)]
     for reading in (0, 1):
         doc = t.readings[reading][0]
         for size in sizes:
-            i, pos, h = t.windows(reading, size, whole and size < WINDOW)
+            i, pos, h, template = t.windows(reading, size, whole and size < WINDOW)
             if bitmap is not None:
                 slot = (h & np.uint64(BITMAP - 1)).astype(np.int64)
                 may = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-                i, pos, h = i[may], pos[may], h[may]
-            for a, p, x in zip(i.tolist(), pos.tolist(), h.view(np.int64).tolist()):
+                i, pos, h, template = i[may], pos[may], h[may], template[may]
+            for a, p, x, m in zip(i.tolist(), pos.tolist(), h.view(np.int64).tolist(), template.tolist()):
                 if ids[doc[a]] is not None:
-                    for col, v in zip(cols, (ids[doc[a]], reading, size, p, x, t.slots(reading, a, size))):
+                    # what matches verbatim has no slots to compare
+                    for col, v in zip(cols, (ids[doc[a]], reading, size, p, x, m, t.slots(reading, a, size) if m else [])):
                         col.append(v)
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], ["id", "reading", "size", "pos", "hash", "slots"])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, kinds)], ["id", "reading", "size", "pos", "hash", "template", "slots"])
 
 
 def windows(rows: DataFrame, key: str, sizes, whole: bool, bitmap: np.ndarray | None = None) -> DataFrame:
@@ -176,10 +183,11 @@ def _aligned(batches):
         for *key, line in zip(*(x.to_pylist() for x in c.columns)):
             at, longest = consistent(line)
             if at:
-                rows.append((*key, at, longest, any(w["theirs"] != w["slots"] for w in line)))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.bool_())
+                template = {w["at"] for w in line if w["template"]}
+                rows.append((*key, at, [a for a in at if a in template], longest, any(w["theirs"] != w["slots"] for w in line)))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.bool_())
         names = [f.split()[0] for f in LINES.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows) if rows else [()] * 7, kinds)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows) if rows else [()] * 8, kinds)], names)
 
 
 def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -191,15 +199,17 @@ def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     np.bitwise_or.at(bitmap, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
     found = stored(windows(docs, "doc_id", sizes, False, bitmap), "found")
-    side = items.select(F.col("id").alias("item_id"), "reading", "size", "hash", F.col("pos").alias("at"), F.col("slots").alias("theirs"))
+    side = items.select(F.col("id").alias("item_id"), "reading", "size", "hash", "template", F.col("pos").alias("at"), F.col("slots").alias("theirs"))
     side = F.broadcast(side) if items.count() <= BROADCAST_ROWS else side
-    met = found.withColumnRenamed("id", "doc_id").join(side, ["reading", "size", "hash"])
+    met = found.withColumnRenamed("id", "doc_id").join(side, ["reading", "size", "hash", "template"])
     key = ["doc_id", "item_id", "reading", "size"]
-    lines = met.groupBy(*key, (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set(F.struct("at", "theirs", "slots")).alias("line"))
+    lines = met.groupBy(*key, (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set(F.struct("at", "theirs", "slots", "template")).alias("line"))
     lines = lines.select(*key, "line").mapInArrow(_aligned, LINES)
-    sums = lines.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n"), F.max("line").alias("line"), F.min("changed").alias("changed"))
-    total = items.groupBy(F.col("id").alias("item_id"), "reading", "size").agg(F.count("*").alias("of"))
-    scored = sums.join(total, ["item_id", "reading", "size"]).withColumn("coverage", F.col("n") / F.col("of")).withColumn("run", F.col("line") + F.col("size") - 1)
+    covered = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    sums = lines.groupBy(*key).agg(covered("at").alias("n"), covered("templates").alias("n_template"), F.max("line").alias("line"), F.min("changed").alias("changed"))
+    total = items.groupBy(F.col("id").alias("item_id"), "reading", "size").agg(F.count("*").alias("of"), F.count_if("template").alias("of_template"))
+    share = F.greatest(F.col("n") / F.col("of"), F.when(F.col("of_template") > 0, F.col("n_template") / F.col("of_template")))
+    scored = sums.join(total, ["item_id", "reading", "size"]).withColumn("coverage", share).withColumn("run", F.col("line") + F.col("size") - 1)
     hit = scored.where((F.col("coverage") >= COVER) | (F.col("run") >= RUN))
     return hit.groupBy("doc_id", "item_id").agg(
         F.max("n").cast("int").alias("n_windows"), F.round(F.max("coverage"), 6).alias("coverage"), F.max("run").cast("int").alias("longest_run"), F.min("changed").alias("reparameterised")

@@ -152,6 +152,16 @@ def test_only_contradicting_windows_are_dropped(spark):
     assert got[1, 2]["reparameterised"] and got[2, 1]["coverage"] == 1 and not got[2, 1]["reparameterised"]
 
 
+def test_number_heavy_items_match_verbatim(spark):
+    sums, short = "Compute 3 km + 5 km + 7 km - 2 km", "1 4 9 16 25"
+    filler = corpus(random.Random(13), 2)
+    texts = [f"{filler[0]} {sums} {filler[1]}", sums.replace("3", "4"), f"squares: {short}.", "1 4 9 16 26", filler[0]]
+    bench = spark.createDataFrame([(1, sums), (2, short), (3, "1 2 3")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.pairs(docs(spark, texts), bench).collect()}
+    assert set(got) == {(0, 1), (2, 2)} and all(r["coverage"] == 1 and not r["reparameterised"] for r in got.values())
+    assert {r["doc_id"] for r in decontam.clean(docs(spark, texts), bench).collect()} == {1, 3, 4}
+
+
 def test_decontam_edges(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.pairs(docs(spark, ["a b c d e f g h i"]), none).count() == 0
