@@ -3,7 +3,7 @@
 Base kinds are email, ip, card and phone. A base match that passes its validator stays whatever its score.
 The method adds spans of further kinds: iban (mod-97), ssn (structure, and words nearby), secret (key-like
 strings, with words nearby). Matches of a kind are leftmost and do not overlap; one that fails its validator is
-dropped and its text is not searched again. Offsets are code points, ends exclusive.
+dropped and its text is not searched again; an iban ends at its country's length. Offsets are code points, ends exclusive.
 
 Defined cases: null and empty texts have no spans; repeated rows are reported alike; an empty table gives an empty
 result; extra columns are left out of the report and kept by `mask`.
@@ -33,6 +33,16 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|[0-9a-f]{32,64}|[A-Za-z0-9_]{2,6}[-_][A-Za-z0-9]{24,64})(?![A-Za-z0-9])")
 _DIGITS = re.compile(r"[^0-9]+")
+#: Characters of an IBAN by country, without spaces.
+IBAN_SIZES = {
+    c: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in names.split()
+}
 # Score without context, and words that raise or lower it within WINDOW characters.
 START = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.6, "iban": 0.95, "ssn": 0.5, "secret": 0.4}
 RAISE = {
@@ -58,6 +68,22 @@ def mod97(text: str) -> bool:
     return 15 <= len(t) <= 34 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
+def _iban(text: str):
+    """Spans of valid matches. A match may hold the words after the number, so it is cut to its country's length if that
+    is valid and ends where a group does; the search goes on from there. Else the whole match counts."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        a, at = m.span()
+        places = [i for i, c in enumerate(m[0]) if c != " "]
+        size = IBAN_SIZES.get(m[0][:2], len(places))
+        end = a + places[size - 1] + 1 if size <= len(places) else at
+        if (end == at or text[end] == " ") and mod97(text[a:end]):
+            at = end
+            yield a, end
+        elif mod97(m[0]):
+            yield a, at
+
+
 def _emails(text: str):
     """Leftmost matches found from their `@`: the local part is the run before it, behind the last match."""
     last, at = 0, text.find("@")
@@ -99,10 +125,11 @@ def score(kind: str, text: str, start: int, end: int) -> float:
 
 def _extra(text: str) -> list[tuple[str, int, int, float]]:
     out = []
-    for kind, pattern, valid in (("iban", _IBAN, mod97), ("ssn", _SSN, None), ("secret", _SECRET, None)):
+    for a, b in _iban(text):
+        if (s := score("iban", text, a, b)) >= LEAST:
+            out.append(("iban", a, b, s))
+    for kind, pattern in (("ssn", _SSN), ("secret", _SECRET)):
         for m in pattern.finditer(text):
-            if valid and not valid(m[0]):
-                continue
             s = 0.9 if kind == "secret" and m[0].startswith("AKIA") else score(kind, text, *m.span())
             if s >= LEAST and (kind != "secret" or re.search(r"[0-9]", m[0]) or m[0].startswith("AKIA")):
                 out.append((kind, *m.span(), s))
