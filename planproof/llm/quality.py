@@ -89,8 +89,9 @@ def _dictionary(texts: list[bytes]) -> bytes:
     """Each text gives blocks spread over its whole length, so long texts do not rule the dictionary."""
     parts = []
     for x in texts:
-        n = max(1, len(x) // BLOCK)
-        parts += [x[BLOCK * i : BLOCK * (i + 1)] for i in sorted({int(k * n / 4) for k in range(min(4, n))})]
+        n = min(4, max(1, -(-len(x) // BLOCK)))
+        starts = [k * (len(x) - BLOCK) // (n - 1) for k in range(n)] if n > 1 else [0]
+        parts += [x[i : i + BLOCK] for i in starts]
     parts = [p for p in parts if len(p) >= 8]
     try:
         return zstandard.train_dictionary(DICT_BYTES, parts).as_bytes()

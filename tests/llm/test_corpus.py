@@ -328,6 +328,14 @@ def tables(spark):
     return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
 
 
+@pytest.mark.parametrize("size", [500, 1500, 2500, 3500, 20_000])
+def test_dictionaries_reach_the_ends_of_texts(size):
+    text = bytes(random.Random(size).choices(range(97, 123), k=size))
+    got = quality._dictionary([text])  # a single text is too little to train on: its blocks as they are
+    assert text[:500] in got and text[-500:] in got
+    assert size > 4096 or all(text[i : i + 8] in got for i in range(size - 7))
+
+
 def test_quality_held_out(spark, tables):
     d, labels = tables
     got = quality.classify(d, labels)
