@@ -5,8 +5,9 @@ The method adds spans of further kinds: iban (mod-97), ssn (structure, and words
 strings, with words nearby). Matches of a kind are leftmost and do not overlap; one that fails its validator is
 dropped and its text is not searched again; an iban ends at its country's length. Offsets are code points, ends exclusive.
 
-Defined cases: null and empty texts have no spans; repeated rows are reported alike; an empty table gives an empty
-result; extra columns are left out of the report and kept by `mask`.
+Defined cases: null and empty texts have no spans; very long texts are read whole, in time that grows with their length; null
+ids are reported like others; repeated rows are reported alike; an empty table gives an empty result; extra columns are left out
+of the report and kept by `mask`.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from planproof.llm.common import prepare, text_chunks
+from planproof.llm.common import nullable, prepare, text_chunks
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban", "ssn", "secret")
@@ -26,7 +27,8 @@ KINDS = BASE + EXTRA
 LEAST = 0.5
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Runs of digits are taken whole and once (nothing shorter can match), so a long run costs its length.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -195,6 +197,6 @@ def mask(docs: DataFrame) -> DataFrame:
                 elif f.name == "n_chars":
                     a = pa.array([None if t is None else len(t) for t in texts], f.type)
                 arrays.append(a)
-            yield pa.RecordBatch.from_arrays(arrays, schema=c.schema)
+            yield pa.RecordBatch.from_arrays(arrays, names=c.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, nullable(docs.schema))
