@@ -1,13 +1,13 @@
 """Benchmark decontamination by templates.
 
 Texts become token sequences in which numbers, units after numbers and (in a second reading) names are typed
-placeholders. Windows of eight tokens are hashed; windows of documents that may be in the benchmark (a fixed-size
-bitmap says so) are joined by hash with the benchmark's. Windows of a document and an item that lie on
-one diagonal are one alignment; its slots must be consistent: a slot value of the item always stands for the same
-value in the document. Where it has several there, it stands for itself if that is one of them, else for the one in most
+placeholders. Windows of eight tokens are hashed; windows of documents that may be in the benchmark (a bitmap sized by the
+benchmark says so) are joined by hash with the benchmark's. Slots must be consistent over all that a document and an item
+share in a reading, wherever it lies in the document: a slot value of the item always stands for the same value in the
+document. Where it has several there, it stands for itself if that is one of them, else for the one in most
 windows; only windows that contradict this are dropped, so those with the item's own values always count.
-A document is contaminated by an item if consistent windows cover half of the item's
-windows (all, or the template ones), or if 13 tokens in a row agree. Changed numbers, units or names are `reparameterised`.
+A document is contaminated by an item if consistent windows cover half of the item's windows (all, or the template
+ones), or if they agree on 13 tokens in a row. Changed numbers, units or names are `reparameterised`.
 
 Reading 0 keeps names as lower-cased words; reading 1 masks capitalised words, a run of them as one. A template window
 needs five plain words at least (a shorter item three fifths), so placeholders alone match nothing. Windows of reading 0
@@ -15,8 +15,9 @@ with fewer are hashed by their tokens as they stand and match verbatim only. Cov
 greater of the shares of all windows and of the template windows.
 
 Defined cases: null and empty texts, null ids and items of fewer than five tokens match nothing; items of five to
-seven tokens are one window; repeated rows of documents give one pair; an empty table on either side gives an
-empty result; extra columns are ignored by `pairs` and kept by `clean`.
+seven tokens are one window; very long texts are read whole, and a passage that stands in one many times counts once;
+repeated rows of documents give one pair; of slot values in equally many windows the lowest hash stands; an empty table on
+either side gives an empty result; extra columns are ignored by `pairs` and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planproof.llm.bagminhash import picked
-from planproof.llm.common import blocks_of, prepare, stored, text_chunks
+from planproof.llm.common import blocks_of, prepare, scoped, stored, text_chunks
 from planproof.llm.textblock import MULT, joined, mix, run_hashes
 
 WINDOW = 8
@@ -37,8 +39,9 @@ SHORTEST = 5
 PLAIN = 5
 COVER = 0.5
 RUN = 13
-#: Slots of the bitmap; at most so many numbers come to the driver, whatever the benchmark's size.
-BITMAP = 1 << 22
+#: Least and most slots of the bitmap, which has 16 for each benchmark window; most is also the most numbers that come to the
+#: driver, and 8 MB a task. A benchmark too large for it lets more windows through; the join decides all the same.
+BITMAP_LEAST, BITMAP_MOST = 1 << 22, 1 << 26
 #: Benchmark windows up to this many are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 # Units that may follow a number.
@@ -54,7 +57,7 @@ _CLASS[48:58] = 2
 _ENDS = np.zeros(256, np.int8)
 _ENDS[[ord(c) for c in ".!?:\n"]] = 1
 ROWS = "id long, reading int, size int, pos int, hash long, template boolean, slots array<long>"
-LINES = "doc_id long, item_id long, reading int, size int, at array<int>, templates array<int>, line int, changed boolean"
+MATCHED = "doc_id long, item_id long, reading int, size int, n int, n_template int, run int, changed boolean"
 
 
 def _lowered(b: np.ndarray) -> np.ndarray:
@@ -138,7 +141,7 @@ def _rows(c: pa.RecordBatch, key: str, sizes, whole: bool, bitmap: np.ndarray |
         for size in sizes:
             i, pos, h, template = t.windows(reading, size, whole and size < WINDOW)
             if bitmap is not None:
-                slot = (h & np.uint64(BITMAP - 1)).astype(np.int64)
+                slot = (h & np.uint64(bitmap.size * 8 - 1)).astype(np.int64)
                 may = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
                 i, pos, h, template = i[may], pos[may], h[may], template[may]
             for a, p, x, m in zip(i.tolist(), pos.tolist(), h.view(np.int64).tolist(), template.tolist()):
@@ -160,63 +163,78 @@ def windows(rows: DataFrame, key: str, sizes, whole: bool, bitmap: np.ndarray |
     return rows.select(key, "text").mapInArrow(run, ROWS)
 
 
-def consistent(line: list[dict]) -> tuple[list[int], int]:
-    """Positions of the windows (at, theirs, slots) of one alignment that do not contradict, and most of them in a row."""
-    pairs = [set(zip(w["theirs"], w["slots"])) for w in line]
+def consistent(lines: list[list[dict]]) -> list[list[dict]]:
+    """The windows (theirs, slots) of all alignments that do not contradict the one map from values to values."""
     stands: dict[int, Counter] = {}
-    for p in pairs:
+    pairs = [[set(zip(w["theirs"], w["slots"])) for w in line] for line in lines]
+    for p in (p for line in pairs for p in line):
         alone = len({a for a, _ in p}) == len(p)
         for a, b in p:
             stands.setdefault(a, Counter())[b] += alone
     chosen = {a: a if a in n else max(n, key=lambda b: (n[b], -b)) for a, n in stands.items()}
-    kept = {w["at"] for w, p in zip(line, pairs) if all(chosen[a] == b for a, b in p)}
-    longest = run = 0
-    for at in sorted({w["at"] for w in line}):  # only dropped windows end a run
-        run = run + 1 if at in kept else 0
-        longest = max(longest, run)
-    return sorted(kept), longest
+    return [[w for w, p in zip(line, of) if all(chosen[a] == b for a, b in p)] for line, of in zip(lines, pairs)]
 
 
-def _aligned(batches):
+def longest(line: list[dict], size: int) -> int:
+    """Tokens of the longest run of windows that follow each other in the item (nth) and touch (at)."""
+    most = begin = 0
+    before = None
+    for w in sorted(line, key=lambda w: w["at"]):
+        if before is None or w["nth"] - before["nth"] > 1 or w["at"] - before["at"] > size:
+            begin = w["at"]
+        most, before = max(most, w["at"] - begin + size), w
+    return most
+
+
+def _matched(batches):
     for c in batches:
         rows = []
-        for *key, line in zip(*(x.to_pylist() for x in c.columns)):
-            at, longest = consistent(line)
+        for *key, lines in zip(*(x.to_pylist() for x in c.columns)):
+            kept = consistent(lines)
+            at = {w["at"] for line in kept for w in line}
             if at:
-                template = {w["at"] for w in line if w["template"]}
-                rows.append((*key, at, [a for a in at if a in template], longest, any(w["theirs"] != w["slots"] for w in line)))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.bool_())
-        names = [f.split()[0] for f in LINES.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows) if rows else [()] * 8, kinds)], names)
+                template = {w["at"] for line in kept for w in line if w["template"]}
+                run = max(longest(line, key[-1]) for line in kept)
+                changed = all(any(w["theirs"] != w["slots"] for w in line) for line, some in zip(lines, kept) if some)
+                rows.append((*key, len(at), len(template), run, changed))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows) if rows else [()] * 8, kinds)], [f.split()[0] for f in MATCHED.split(", ")])
 
 
+@scoped
 def pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, longest_run, reparameterised of each contaminated document and item."""
-    items = stored(windows(benchmark, "item_id", range(SHORTEST, WINDOW + 1), True), "items").dropDuplicates(["id", "reading", "size", "pos", "hash"])
-    items = stored(items, "items")
-    slots = blocks_of(items.select(F.col("hash").bitwiseAND(F.lit(BITMAP - 1)).cast("int").alias("slot")).distinct())["slot"].to_numpy()
-    bitmap = np.zeros(BITMAP >> 3, np.uint8)
+    items = windows(benchmark, "item_id", range(SHORTEST, WINDOW + 1), True).dropDuplicates(["id", "reading", "size", "pos", "hash"])
+    items = stored(items.withColumn("nth", F.dense_rank().over(W.partitionBy("id", "reading", "size").orderBy("pos"))), "items")
+    many = items.count()
+    room = min(BITMAP_MOST, max(BITMAP_LEAST, 1 << (16 * many).bit_length()))
+    slots = blocks_of(items.select(F.col("hash").bitwiseAND(F.lit(room - 1)).cast("int").alias("slot")).distinct())["slot"].to_numpy()
+    bitmap = np.zeros(room >> 3, np.uint8)
     np.bitwise_or.at(bitmap, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
     found = stored(windows(docs, "doc_id", sizes, False, bitmap), "found")
-    side = items.select(F.col("id").alias("item_id"), "reading", "size", "hash", "template", F.col("pos").alias("at"), F.col("slots").alias("theirs"))
-    side = F.broadcast(side) if items.count() <= BROADCAST_ROWS else side
-    met = found.withColumnRenamed("id", "doc_id").join(side, ["reading", "size", "hash", "template"])
+    # One row a hash: a window that many documents share is then a hot key on the documents' side alone, which the
+    # skew join splits; its items are unfolded where it lies.
+    key = ["reading", "size", "hash", "template"]
+    side = items.groupBy(*key).agg(F.collect_list(F.struct(F.col("id").alias("item_id"), F.col("pos").alias("at"), "nth", F.col("slots").alias("theirs"))).alias("hits"))
+    side = F.broadcast(side) if many <= BROADCAST_ROWS else side
+    met = found.join(side, key).select(F.col("id").alias("doc_id"), "reading", "size", "template", "pos", "slots", F.inline("hits"))
     key = ["doc_id", "item_id", "reading", "size"]
-    lines = met.groupBy(*key, (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set(F.struct("at", "theirs", "slots", "template")).alias("line"))
-    lines = lines.select(*key, "line").mapInArrow(_aligned, LINES)
-    covered = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    sums = lines.groupBy(*key).agg(covered("at").alias("n"), covered("templates").alias("n_template"), F.max("line").alias("line"), F.min("changed").alias("changed"))
+    line = F.sort_array(F.collect_set(F.struct("at", "nth", "theirs", "slots", "template")))
+    lines = met.groupBy(*key, (F.col("pos") - F.col("at")).alias("shift")).agg(line.alias("line")).groupBy(*key).agg(F.collect_set("line").alias("lines"))
     total = items.groupBy(F.col("id").alias("item_id"), "reading", "size").agg(F.count("*").alias("of"), F.count_if("template").alias("of_template"))
     share = F.greatest(F.col("n") / F.col("of"), F.when(F.col("of_template") > 0, F.col("n_template") / F.col("of_template")))
-    scored = sums.join(total, ["item_id", "reading", "size"]).withColumn("coverage", share).withColumn("run", F.col("line") + F.col("size") - 1)
+    scored = lines.mapInArrow(_matched, MATCHED).join(total, ["item_id", "reading", "size"]).withColumn("coverage", share)
     hit = scored.where((F.col("coverage") >= COVER) | (F.col("run") >= RUN))
-    return hit.groupBy("doc_id", "item_id").agg(
-        F.max("n").cast("int").alias("n_windows"), F.round(F.max("coverage"), 6).alias("coverage"), F.max("run").cast("int").alias("longest_run"), F.min("changed").alias("reparameterised")
-    )
+    return hit.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.round(F.max("coverage"), 6).alias("coverage"), F.max("run").alias("longest_run"), F.min("changed").alias("reparameterised"))
+
+
+@scoped
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return pairs(docs, benchmark).select("doc_id").distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated documents, all columns as they are."""
-    gone = stored(pairs(docs, benchmark).select("doc_id").distinct(), "leaks")
+    gone = leaks(docs, benchmark)
     return picked(docs, gone, gone.count(), "left_anti")
