@@ -4,20 +4,23 @@ The target model counts the documents labelled good, the background model counts
 models with Dirichlet back-off to unigrams; the background's counts are
 scaled to the target's number of tokens, so both trust their counts alike. A document's score is its
 mean loss a token under the background model less that under the target model: higher is more like the target.
+Each document is scored by models that lack its own counts (they are taken off again, exactly), so a score tells what
+the other documents say of it and not that a model has seen it.
 
 Counts cover every token of every document, and each n-gram has a count of its own: keys are hashes of 63 bits and
-one bit that keeps unigrams and contexts apart from bigrams. Nothing of the model comes to the driver or is
+one bit that keeps unigrams and contexts apart from bigrams (of n distinct keys about n^2 / 2^64 pairs collide). Nothing of the model comes to the driver or is
 broadcast; what is gathered grows with the corpus:
 
 1. Each task codes its documents in blocks of about BLOCK tokens; the blocks are stored.
 2. Each block sends its distinct keys with their counts, cut by ranges of keys, to the parts of the model. There are as
    many parts as the corpus needs, so a part stays at about PART tokens.
 3. Each part adds up its keys and answers every block with the sums, in the block's order.
-4. Blocks and their answers are joined, and the block's documents are scored.
+4. Blocks and their answers are joined, and the block's documents are scored, some at a time.
 
-Defined cases: null and empty texts have no tokens and null losses and score; null or repeated labels count as the
-highest of the id; repeated rows count and score as often as they stand; without target documents its model is
-uniform; an empty table gives an empty result; extra columns are left out.
+Defined cases: null and empty texts have no tokens and null losses and score; a very long text is a block of its own; null or
+repeated labels count as the highest of the id; repeated rows count and score as often as they stand, each without its own
+counts alone; null ids are scored and are no targets; without (other) target documents its model is uniform; an
+empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planproof.llm.common import prepare, stored, text_chunks
+from planproof.llm.common import prepare, scoped, stored, text_chunks
 from planproof.llm.textblock import MULT, Words, mix
 
 #: A word of no document has a count of one among so many.
@@ -38,6 +41,8 @@ PRIOR = 200.0
 BEGIN = MULT[55]
 BLOCK = 1 << 21
 PART = 1 << 21
+#: Tokens of the documents that are scored at a time (a longer document is scored alone).
+SLICE = 1 << 18
 #: Target ids up to this many are broadcast, so no text moves; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 BLOCKS = "block long, ids array<long>, lengths array<int>, target array<boolean>, n long, n_target long, words binary, tokens binary"
@@ -57,25 +62,25 @@ def unpacked(raw: bytes, kind) -> np.ndarray:
 class Block:
     """Documents as word numbers. keys: distinct n-grams, sorted; b and t: their counts in all and in target documents.
 
-    one, two and before are the places in keys of each word, of each distinct bigram, and of its context; pair is the
-    number of each token's bigram, word the word of each distinct bigram."""
+    one and two are the places in keys of each word and of each distinct bigram; pair is the number of each token's
+    bigram, word and before the words of each distinct bigram."""
 
     def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, target: np.ndarray):
         begin = words.size
         words = np.append(words, BEGIN)
+        self.lengths, self.target = lengths, target
         start = (np.cumsum(lengths) - lengths)[lengths > 0]
         before = np.concatenate([[begin], tokens[:-1]]).astype(np.int64)
         before[start] = begin
         pairs, self.pair = np.unique(before * words.size + tokens, return_inverse=True)
-        before, self.word = pairs // words.size, pairs % words.size
+        self.before, self.word = pairs // words.size, pairs % words.size
         one = mix(words * MULT[10]) & ~np.uint64(1)
-        two = mix(words[before] * MULT[11] + words[self.word] * MULT[12]) | np.uint64(1)
+        two = mix(words[self.before] * MULT[11] + words[self.word] * MULT[12]) | np.uint64(1)
         keys = np.concatenate([one, two])
         order = np.argsort(keys)
         place = np.empty(order.size, np.int64)
         place[order] = np.arange(order.size)
         self.keys, self.one, self.two = keys[order], place[: words.size], place[words.size :]
-        self.before = self.one[before]
         chosen = np.repeat(target, lengths)
         self.b, self.t = (
             # BEGIN is a context as often as texts begin
@@ -87,11 +92,38 @@ class Block:
     def of(cls, row: dict) -> Block:
         return cls(unpacked(row["words"], np.uint64), unpacked(row["tokens"], np.int32), np.array(row["lengths"], np.int64), np.array(row["target"], bool))
 
-    def losses(self, counts: np.ndarray, scale: float, tokens: float) -> np.ndarray:
-        """Loss of each token under the model with these counts of the keys, in their order."""
-        c = counts * scale
-        unigram = (c[self.one[self.word]] + 1) / (tokens * scale + VOCABULARY)
-        return -np.log((c[self.two] + PRIOR * unigram) / (c[self.before] + PRIOR))[self.pair]
+    def losses(self, target: np.ndarray, all_: np.ndarray, target_tokens: int, all_tokens: int) -> np.ndarray:
+        """(2, documents) mean losses a token under the target and the background model, given the corpus' counts of the
+        keys in their order; each document's own counts are left out."""
+        out = np.zeros((2, self.lengths.size))
+        ends = np.cumsum(self.lengths)
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(SLICE, int(ends[-1]) + SLICE, SLICE)) + 1]).clip(0, ends.size))
+        for d, e in zip(cuts, cuts[1:]):
+            n = self.lengths[d:e]
+            pair = self.pair[ends[d] - n[0] : ends[e - 1]]
+            if not pair.size:
+                continue
+            doc = np.repeat(np.arange(n.size), n)
+            word, before = self.word[pair], self.before[pair]
+            own = []
+            for v in (pair, word):
+                key, at, many = np.unique(doc * (int(v.max()) + 1) + v, return_inverse=True, return_counts=True)
+                own.append(many[at])
+            # a context counts as often as its word, BEGIN once
+            begin = before == self.one.size - 1
+            at = np.searchsorted(key, np.where(begin, key[0], doc * (int(word.max()) + 1) + before))
+            own.append(np.where(begin, 1, many[at]))
+            mine = self.target[d:e]
+            rest = target_tokens - n * mine, all_tokens - n
+            scale = np.where((rest[0] > 0) & (rest[1] > 0), rest[0] / np.maximum(rest[1], 1), 1.0)
+            for k, (counts, left, tokens, by) in enumerate(((target, mine[doc], rest[0], None), (all_, 1, rest[1], scale))):
+                c2, c1, c0 = (counts[at] - x * left for at, x in zip((self.two[pair], self.one[word], self.one[before]), own))
+                if by is not None:
+                    c2, c1, c0, tokens = c2 * by[doc], c1 * by[doc], c0 * by[doc], tokens * by
+                unigram = (c1 + 1) / (tokens[doc] + VOCABULARY)
+                loss = -np.log((c2 + PRIOR * unigram) / (c0 + PRIOR))
+                out[k, d:e] = np.bincount(doc, weights=loss, minlength=n.size) / np.maximum(n, 1)
+        return out
 
 
 def _stored_row(number: int, held: list) -> pa.RecordBatch:
@@ -164,23 +196,19 @@ def answers(coded: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("part").applyInArrow(add, "block long, part int, b binary, t binary")
 
 
+@scoped
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, block: int = BLOCK, part: int = PART) -> DataFrame:
     coded = blocks(docs, labels, block)
     all_tokens, target_tokens = (int(v or 0) for v in coded.agg(F.sum("n"), F.sum("n_target")).first())
-    scale = target_tokens / all_tokens if target_tokens else 1.0
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         n = np.array(row["lengths"], np.int64)
-        means = np.zeros((2, n.size))
+        t = b = np.zeros(n.size)
         if row["n"]:
-            x = Block.of(row)
             right = right.sort_by("part")
-            doc = np.repeat(np.arange(n.size), n)
-            for k, (name, by, of) in enumerate((("t", 1.0, target_tokens), ("b", scale, all_tokens))):
-                counts = np.concatenate([unpacked(v.as_py(), np.int64) for v in right.column(name)])
-                means[k] = np.bincount(doc, weights=x.losses(counts, by, of), minlength=n.size) / np.maximum(n, 1)
-        t, b = means
+            counts = (np.concatenate([unpacked(v.as_py(), np.int64) for v in right.column(name)]) for name in ("t", "b"))
+            t, b = Block.of(row).losses(*counts, target_tokens, all_tokens)
         cols = [pa.array(np.round(v, 9), mask=n == 0) for v in (t, b, b - t)]
         return pa.table([pa.array(row["ids"], pa.int64()), pa.array(n), *cols], [f.split()[0] for f in SCORES.split(", ")])
 
