@@ -9,15 +9,20 @@ needs the points before (ln m + x) / W alone: about m ln m of them, however long
 
 Texts that are the same words are one class, whose lowest doc_id stands for it. Representatives that share a
 band are candidates. Links are tested exactly (multiset overlap of whole texts, similarity >= 0.8) without
-making all pairs of a bucket: first each member with its bucket's lowest id. A pair within one component cannot
-change the components, so it needs no test; buckets of one component are done. In those left, a text goes
-out if more than a fifth of its shingles are in no other text left: it cannot overlap any by enough. What still stands
-in a bucket with another component is compared in blocks: a task holds two blocks of at most about BLOCK texts, gets
-all overlaps between them as one matrix product, and returns links between components alone, a spanning set of them.
+making all pairs of a bucket; what is moved and compared are shingle hashes, made once for each candidate:
+
+1. Each member is tested with its bucket's lowest id. A pair within one component cannot change the components, so
+   it needs no test from there on; buckets of one component are done.
+2. Of the texts left, one goes out if more than a fifth of its shingles are in no text of another component: it cannot
+   overlap any of those by enough. That is repeated while it helps, as each text that goes takes its shingles along.
+3. What still stands in a bucket with another component is compared in blocks. Texts of one size class (sizes within a
+   factor of 1.25) are dealt to blocks; a task holds two blocks of the same or of neighbouring classes, as others cannot be near,
+   gets all overlaps between them as one matrix product, and returns a spanning set of links between components.
 
 Defined cases: null and empty texts, and null ids, are near nothing and are classes of their own; a text of one to
-four words is one shingle; rows that share a doc_id are one document; an empty table gives an empty result; extra
-columns are ignored by `groups` and kept by `keep_one`.
+four words is one shingle; very long texts are read whole, and cost memory by their length alone; rows that share a doc_id
+are one document; the lowest doc_id of a group stands for it; an empty table gives an empty result; extra columns are
+ignored by `groups` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planproof.llm.common import prepare, stored, text_chunks
+from planproof.llm.common import prepare, scoped, stored, text_chunks
 from planproof.llm.textblock import MULT, Words, mix, multisets, shingles
 
 M = 128
@@ -36,8 +41,8 @@ SIZE = 5
 LEAST = 0.8
 #: Ids up to this many are broadcast to pick rows of a large table; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Texts of a bucket, and shingles of them, that one task holds at a time; larger buckets are dealt out over pairs of blocks.
-BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Texts of a bucket and size class, and shingles of them, in a block; a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 _STEP, _COMPONENT, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -122,11 +127,46 @@ def signed(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
-def similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Weighted Jaccard similarity of the shingle multisets of a[i] and b[i]; 0 where either is empty."""
+def packed(h: np.ndarray, count: np.ndarray) -> bytes:
+    """A multiset of 48-bit hashes: how many, six bytes each, then place and count of those that stand several times."""
+    more = np.flatnonzero(count > 1)
+    rest = np.column_stack([more, count[more]]).astype("<u4")
+    return np.uint32(h.size).tobytes() + h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + rest.tobytes()
+
+
+def unpacked(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bag, hash, count) of all entries of the bags."""
+    sizes = np.array([int.from_bytes(x[:4], "little") for x in bags], np.int64)
+    raw = np.frombuffer(b"".join(x[4 : 4 + 6 * n] for x, n in zip(bags, sizes.tolist())), np.uint8).reshape(-1, 6)
+    wide = np.zeros((raw.shape[0], 8), np.uint8)
+    wide[:, :6] = raw
+    count = np.ones(raw.shape[0], np.int64)
+    first = np.cumsum(sizes) - sizes
+    for x, n, at in zip(bags, sizes.tolist(), first.tolist()):
+        if len(x) > 4 + 6 * n:
+            rest = np.frombuffer(x, "<u4", offset=4 + 6 * n).reshape(-1, 2)
+            count[at + rest[:, 0]] = rest[:, 1]
+    return np.repeat(np.arange(sizes.size), sizes), wide.view("<u8").ravel().astype(np.uint64), count
+
+
+def bags(docs: DataFrame) -> DataFrame:
+    """doc_id and the multiset of shingles of each text."""
+
+    def run(batches):
+        for c in text_chunks(batches):
+            w = Words(c.column("text"))
+            d, h, n = multisets(*shingles(w, SIZE), w.docs)
+            edge = np.searchsorted(d, np.arange(w.docs + 1)).tolist()
+            raw = [packed(h[a:b], n[a:b]) for a, b in zip(edge, edge[1:])]
+            yield pa.RecordBatch.from_arrays([c.column("doc_id").cast(pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "bag"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bag binary")
+
+
+def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Weighted Jaccard similarity of the multisets a[i] and b[i]; 0 where both are empty."""
     n = len(a)
-    w = Words(pa.concat_arrays([a.cast(pa.large_string()), b.cast(pa.large_string())]))
-    d, h, count = multisets(*shingles(w, SIZE), w.docs)
+    d, h, count = unpacked([*a, *b])
     size = np.bincount(d, weights=count, minlength=2 * n)
     key = ((d % max(n, 1)).astype(np.uint64) << np.uint64(48)) | h
     order = np.argsort(key, kind="stable")
@@ -142,32 +182,39 @@ def picked(table: DataFrame, ids: DataFrame, rows: int, how: str) -> DataFrame:
     return table.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, "doc_id", how)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+def verified(pairs: DataFrame, held: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b, near) of each pair, by the overlap of the whole texts, stored."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    sides = (held.select(F.col("doc_id").alias(x), F.col("bag").alias(f"{x}_bag")) for x in ("a", "b"))
+    both = pairs.join(next(sides), "a").join(next(sides), "b")
 
     def run(batches):
-        for c in text_chunks(batches, "ta"):
-            near = similarity(c.column("ta"), c.column("tb")) >= least
+        for c in text_chunks(batches, "a_bag", "b_bag"):
+            near = similarity(c.column("a_bag").to_pylist(), c.column("b_bag").to_pylist()) >= least
             yield pa.RecordBatch.from_arrays([c.column("a"), c.column("b"), pa.array(near)], ["a", "b", "near"])
 
-    return stored(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, near boolean"), "tested")
+    return stored(both.select("a", "b", "a_bag", "b_bag").mapInArrow(run, "a long, b long, near boolean"), "tested")
 
 
-def lonely(texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id of the texts that share too few shingles with all others of the table to be near any of them."""
+def hopeful(held: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of held (rep, comp, size, bag) that share enough shingles with texts of other components to be near one."""
 
     def run(batches):
-        for c in text_chunks(batches):
-            w = Words(c.column("text"))
-            d, h, n = multisets(*shingles(w, SIZE), w.docs)
-            ids = c.column("doc_id").to_numpy(zero_copy_only=False)
-            size = np.bincount(d, weights=n, minlength=w.docs).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[d]), pa.array(n), pa.array(size[d])], ["h", "doc_id", "n", "size"])
-
-    parts = texts.mapInArrow(run, "h long, doc_id long, n long, size long")
-    own = parts.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.max("n").alias("n"), F.max("size").alias("size")).where("doc_id = last")
-    return own.groupBy("doc_id").agg(F.sum("n").alias("own"), F.max("size").alias("size")).where(F.col("size") - F.col("own") < least * F.col("size")).select("doc_id")
+        for c in text_chunks(batches, "bag"):
+            d, h, n = unpacked(c.column("bag").to_pylist())
+            ids, comp = (c.column(x).to_numpy(zero_copy_only=False)[d] for x in ("rep", "comp"))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(comp), pa.array(n)], ["h", "rep", "comp", "n"])
+
+    many = held.count()
+    while many:
+        parts = stored(held.select("rep", "comp", "bag").mapInArrow(run, "h long, rep long, comp long, n long"), "parts")
+        spread = parts.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("h")
+        met = parts.join(spread, "h", "left_semi").groupBy("rep").agg(F.sum("n").alias("met"))
+        held = stored(held.join(met, "rep").where(F.col("met") >= least * F.col("size")).drop("met"), "hopeful")
+        left = held.count()
+        if left > 0.9 * many:
+            break
+        many = left
+    return held
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -231,13 +278,10 @@ def overlaps(doc: np.ndarray, h: np.ndarray, count: np.ndarray, left: np.ndarray
 
 def block_links(table: pa.Table, least: float = LEAST) -> pa.Table:
     """(a, b): components that a near pair of the two blocks joins, as a forest."""
-    texts, comp = table.column("text").combine_chunks(), table.column("comp").to_numpy()
-    block, i, j = (table.column(n).to_numpy() for n in ("block", "i", "j"))
-    docs = np.arange(len(texts))
-    left, right = docs[block == i[0]], docs[block == j[0]]
-    w = Words(texts)
-    d, h, n = multisets(*shingles(w, SIZE), w.docs)
-    size = np.bincount(d, weights=n, minlength=w.docs)
+    comp, left, right = (table.column(n).to_numpy() for n in ("comp", "left", "right"))
+    d, h, n = unpacked(table.column("bag").to_pylist())
+    size = np.bincount(d, weights=n, minlength=table.num_rows)
+    left, right = np.flatnonzero(left), np.flatnonzero(right)
     both = overlaps(d, h, n, left, right)
     near = both >= least * (size[left][:, None] + size[right][None, :] - both)
     x, y = np.nonzero(near & (comp[left][:, None] != comp[right][None, :]))
@@ -257,6 +301,25 @@ def block_links(table: pa.Table, least: float = LEAST) -> pa.Table:
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
+def dealt(at: DataFrame, block: int) -> DataFrame:
+    """The rows of at (band, rep, comp, size) for each pair of blocks they stand in: band, of, i, j tell the pair, left and
+    right its sides. of is the lower size class, or, for pairs of blocks of two classes, that and a half."""
+    rung = F.floor(F.log("size") / F.log(F.lit(1 / LEAST))).cast("int")
+    at = at.withColumn("rung", rung)
+    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    many = at.groupBy("band", "rung").agg(parts.alias("parts"))
+    near = many.groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct("rung", "parts"))).alias("parts"))
+    at = at.join(near, "band").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")[F.col("rung")]).cast("int"))
+    count = lambda step: F.coalesce(F.try_element_at("parts", F.col("rung") + step), F.lit(0))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    mine, rung = F.col("block"), F.col("rung").cast("double")
+    same = F.transform(upto(count(0)), lambda o: F.struct(rung.alias("of"), F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"), (mine <= o).alias("left"), (mine >= o).alias("right")))
+    up = F.transform(upto(count(1)), lambda o: F.struct((rung + 0.5).alias("of"), mine.alias("i"), o.alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right")))
+    down = F.transform(upto(count(-1)), lambda o: F.struct((rung - 0.5).alias("of"), o.alias("i"), mine.alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
+    return at.select("band", "rep", "comp", F.inline(F.concat(same, up, down)))
+
+
+@scoped
 def groups(docs: DataFrame, bands: int = BANDS, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id for each row: the lowest doc_id of its group of near-duplicates."""
     prepare(docs.sparkSession)
@@ -267,22 +330,20 @@ def groups(docs: DataFrame, bands: int = BANDS, least: float = LEAST, block: int
     heads = stored(members.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("band", "lead"), "heads")
     buckets = stored(members.join(heads, "band"), "buckets")
     ids = stored(buckets.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    texts = stored(picked(docs.select("doc_id", "text"), ids, ids.count(), "left_semi"), "texts")
-    tested = verified(buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), texts, least)
+    held = stored(bags(picked(docs.select("doc_id", "text"), ids, ids.count(), "left_semi")).dropDuplicates(["doc_id"]), "bags")
+    tested = verified(buckets.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), held, least)
     copies = known.join(classes, ["f1", "f2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     comps = components(copies.union(tested.where("near").select("a", "b")))
     at = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
     at = stored(at, "at")
     open_ = stored(at.join(_mixed(at).select("band"), "band", "left_semi"), "open")
-    ids = stored(open_.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    texts = stored(picked(texts, ids, ids.count(), "left_semi"), "texts")
-    alone = stored(lonely(texts, least), "lonely")
-    at = stored(open_.join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left_anti"), "at")
-    parts = F.ceil(F.greatest(F.col("n") / block, F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    dealt = at.join(_mixed(at), "band").withColumn("block", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "rep")
-    held = dealt.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("band", "i", "j", "block", "comp", "text")
-    met = stored(held.groupBy("band", "i", "j").applyInArrow(lambda t: block_links(t, least), "a long, b long").distinct(), "met")
+    one = open_.groupBy("rep").agg(F.min("comp").alias("comp"), F.min("size").alias("size"))
+    left = hopeful(stored(held.withColumnRenamed("doc_id", "rep").join(one, "rep"), "held"), least)
+    at = stored(open_.join(left.select("rep"), "rep", "left_semi"), "at")
+    sides = dealt(at.join(_mixed(at).select("band"), "band", "left_semi"), block)
+    key = ["band", "of", "i", "j"]
+    pair = sides.join(left.select("rep", "bag"), "rep").select(*key, "left", "right", "comp", "bag")
+    met = stored(pair.groupBy(*key).applyInArrow(lambda t: block_links(t, least), "a long, b long").distinct(), "met")
     if not met.isEmpty():
         # Only components meet here, and a component is a node of its own, so labels stay links.
         comps = components(comps.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(met))
@@ -291,12 +352,18 @@ def groups(docs: DataFrame, bands: int = BANDS, least: float = LEAST, block: int
 
 def keep_one(docs: DataFrame, bands: int = BANDS, least: float = LEAST) -> DataFrame:
     """docs without near-duplicates: the row with the lowest doc_id of each group stays, all columns as they are."""
-    found = stored(groups(docs, bands, least), "groups")
-    gone = stored(found.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
+    marked = marks(docs, bands, least)
+    gone, again = (marked.where(F.col("again") == x).select("doc_id") for x in (False, True))
     kept = picked(docs, gone, gone.count(), "left_anti")
-    again = stored(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     twice = again.count()
     if not twice:
         return kept
     once = picked(kept, again, twice, "left_semi").dropDuplicates(["doc_id"])
     return picked(kept, again, twice, "left_anti").unionByName(once.select(*docs.columns))
+
+
+@scoped
+def marks(docs: DataFrame, bands: int = BANDS, least: float = LEAST) -> DataFrame:
+    """doc_id, again: documents that go (false), and those that stay of which there are several rows (true)."""
+    found = groups(docs, bands, least).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+    return found.where("doc_id <> class_id or n > 1").select("doc_id", (F.col("doc_id") == F.col("class_id")).alias("again"))
