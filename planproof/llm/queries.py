@@ -15,6 +15,6 @@ QUERIES = {
     "op7_url_filter": lambda s, d: url_vocab.judge(table(s, d, "pages")),
     "op8_best_fit_packing": lambda s, d: packing.pack(table(s, d, "documents")),
     "op9_pii": lambda s, d: pii.report(table(s, d, "documents")),
-    "op10_audio": lambda s, d: audio.digest(audio.featurize(table(s, d, "documents"))),
+    "op10_audio": lambda s, d: audio.materialised(table(s, d, "documents")),
 }
 ORACLES = {"op7_url_filter": url_vocab.oracle()}
