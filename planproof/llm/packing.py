@@ -7,7 +7,7 @@ The pieces then take their slots by their rank within their length. Ranks are de
 doc_id, so that a common length is no group of its own: a rank is the rank in the bucket plus the count of
 the buckets before.
 
-Defined cases: a null or empty text is its closing id alone; a null doc_id is packed like any other;
+Defined cases: a null or empty text is its closing id alone; a very long text is as many pieces as it needs; a null doc_id is packed like any other;
 repeated rows are packed once each; an empty table gives an empty result; extra columns are left out.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from planproof.llm.common import prepare, stored, text_chunks
+from planproof.llm.common import prepare, scoped, stored, text_chunks
 from planproof.llm.tokens import default_path, word_ids
 
 CAPACITY = 2048
@@ -128,5 +128,6 @@ def best_fit(parts: DataFrame, capacity: int = CAPACITY, per_bucket: int = 20_00
     return whole.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
+@scoped
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     return best_fit(stored(pieces(docs, capacity, tokenizer, end_id), "pieces"), capacity)

@@ -19,6 +19,12 @@ DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+@pytest.fixture(scope="module")
+def tables(spark):
+    d = "/root/testdata/sf0.01"
+    return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+
+
 def corpus(rnd, n, words=60):
     vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
     return [" ".join(rnd.choice(vocabulary) for _ in range(words)) for _ in range(n)]
@@ -110,6 +116,50 @@ def test_blocks_reach_all_links(spark):
     assert got == brute_groups(texts)
 
 
+def test_bags_are_whole():
+    rnd = np.random.default_rng(8)
+    sets = [(np.sort(rnd.choice(1 << 48, n, replace=False)).astype(np.uint64), rnd.integers(1, 100_000, n)) for n in (0, 1, 7, 300)]
+    d, h, n = bm.unpacked([bm.packed(*s) for s in sets])
+    for i, (x, c) in enumerate(sets):
+        assert (h[d == i] == x).all() and (n[d == i] == c).all()
+
+
+def test_open_buckets_of_many_components(spark):
+    """Texts put together from few passages: all shingles are shared, sizes differ, and many pairs lie about the threshold."""
+    rnd = random.Random(31)
+    passages = [" ".join(p.split()) for p in corpus(rnd, 14, 12)]
+    texts = [" ".join(rnd.sample(passages, rnd.randrange(4, 9))) for _ in range(150)]
+    texts += [" ".join(sorted(rnd.sample(passages, 8), key=passages.index)) for _ in range(120)]
+    got = {r["doc_id"]: r["class_id"] for r in bm.groups(docs(spark, texts), block=16).collect()}
+    assert got == brute_groups(texts)
+
+
+def test_near_copies_of_the_tables(spark, tables):
+    """All pairs at 0.8 or more of the table that share any shingle of fewer than 400 texts, by brute force."""
+    rows = [(r["doc_id"], bag(r["text"])) for r in tables[0].collect()]
+    # words as the operator takes them
+    held = collections.defaultdict(list)
+    for i, (_, b) in enumerate(rows):
+        for s in b:
+            held[s].append(i)
+    pairs = {(i, j) for v in held.values() if 1 < len(v) < 400 for x, i in enumerate(v) for j in v[x + 1 :]}
+    near = [(rows[i][0], rows[j][0]) for i, j in pairs if jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    got = {r["doc_id"]: r["class_id"] for r in bm.groups(tables[0]).collect()}
+    assert len(near) > 80 and all(got[a] == got[b] for a, b in near)
+    # and no class holds more than its links make
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in near:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    assert got == {i: top(i) for i, _ in rows}
+
+
 def test_near_duplicate_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert bm.groups(empty).count() == 0 and bm.keep_one(empty).columns == empty.columns
@@ -152,6 +202,127 @@ def test_only_contradicting_windows_are_dropped(spark):
     assert got[1, 2]["reparameterised"] and got[2, 1]["coverage"] == 1 and not got[2, 1]["reparameterised"]
 
 
+def plain_tokens(text):
+    """(token, raw, plain, capital) by regular expressions."""
+    out = []
+    for m in re.finditer(r"[0-9]+(?:[.,][0-9]+)*|[A-Za-z_]+", text or ""):
+        low = m[0].lower()
+        if m[0][0].isdigit():
+            out.append(("#", low, False, False))
+        elif out and out[-1][0] == "#" and low in decontam.UNITS:
+            out.append(("@", low, False, False))
+        else:
+            out.append((low, low, True, m[0][0].isupper()))
+    names = []
+    for t in out:
+        if t[3] and names and names[-1][0] == "&":
+            names[-1] = ("&", names[-1][1] + " " + t[1], False, True)
+        else:
+            names.append(("&", t[1], False, True) if t[3] else t)
+    return out, names
+
+
+def brute_windows(text, reading, size, whole):
+    t = plain_tokens(text)[reading]
+    for i in range(len(t) - size + 1) if not whole or size == 8 or len(t) == size else ():
+        part = t[i : i + size]
+        template = sum(x[2] for x in part) >= (5 if size == 8 else -(-3 * size // 5))
+        if template or not reading:
+            yield i, (template, *(x[0 if template else 1] for x in part)), [x[1] for x in part if template and not x[2]]
+
+
+def brute_pair(doc, item):
+    """(coverage, run) by all pairs of windows, or None."""
+    best = (0, 0)
+    for reading in (0, 1):
+        for size in (5, 6, 7, 8):
+            theirs = list(brute_windows(item, reading, size, True))
+            met = [(i - j, j, tuple(a), tuple(b), k) for j, h, a in theirs for i, g, b in brute_windows(doc, reading, size, False) if g == h for k in [theirs.index((j, h, a))]]
+            if not met:
+                continue
+            lines = {frozenset(m[1:] for m in met if m[0] == s) for s in {m[0] for m in met}}
+            votes = collections.defaultdict(collections.Counter)
+            for _, a, b, _ in (w for line in lines for w in line):
+                pairs = set(zip(a, b))
+                for x, y in pairs:
+                    votes[x][y] += len({p for p, _ in pairs}) == len(pairs)
+            # a tie is broken by hashes, which this has not: skip such cases
+            chosen = {}
+            for x, n in votes.items():
+                top = [y for y, c in n.items() if c == max(n.values())]
+                if x not in n and len(top) > 1:
+                    return None
+                chosen[x] = x if x in n else top[0]
+            kept = [[w for w in line if all(chosen[x] == y for x, y in zip(w[1], w[2]))] for line in lines]
+            at = {w[0] for line in kept for w in line}
+            templates = [j for j, h, _ in theirs if h[0]]
+            cover = max(len(at) / len(theirs), len(at & set(templates)) / len(templates) if templates else 0)
+            run = 0
+            for line in kept:
+                line, begin = sorted(line), None
+                for k, w in enumerate(line):
+                    if not k or w[3] - line[k - 1][3] > 1 or w[0] - line[k - 1][0] > size:
+                        begin = w[0]
+                    run = max(run, w[0] - begin + size)
+            best = (max(best[0], cover), max(best[1], run))
+    return best
+
+
+def test_slots_match_brute_force(spark):
+    rnd = random.Random(21)
+    words = "red blue tall wide river stone cart wheel paper green small light near under table chair wall door".split()
+
+    def sentence(n):
+        out = []
+        for _ in range(n):
+            k = rnd.random()
+            out.append(str(rnd.randrange(2, 6)) if k < 0.15 else rnd.choice(("Ann", "Bob", "Cleo")) if k < 0.25 else rnd.choice(("km", "kg")) if k < 0.3 else rnd.choice(words))
+        return out
+
+    def altered(w):
+        swap = {v: rnd.choice("23456789") for v in "2345"} | {n: rnd.choice(("Ann", "Dora", "Eve")) for n in ("Ann", "Bob", "Cleo")}
+        w = [swap.get(x, x) if rnd.random() < 0.93 else str(rnd.randrange(9)) for x in w]
+        if rnd.random() < 0.5:
+            w.insert(rnd.randrange(len(w)), "inserted")
+        if rnd.random() < 0.3:
+            w = w[: rnd.randrange(len(w) // 2, len(w))]
+        return w
+
+    items = [sentence(rnd.choice((5, 6, 7, 9, 14, 24, 37))) for _ in range(25)]
+    texts = [" ".join(sentence(8) + altered(rnd.choice(items)) + sentence(6) + (altered(rnd.choice(items)) if rnd.random() < 0.4 else [])) for _ in range(120)]
+    items = [" ".join(i) for i in items]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").selectExpr("*", "'x' as hash", "0 as pos", "0 as doc_id", "1 as size")
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["longest_run"]) for r in decontam.pairs(docs(spark, texts).selectExpr("*", "1 as item_id", "2 as slots", "3 as id"), bench).collect()}
+    skipped = hits = 0
+    for d, t in enumerate(texts):
+        for i, x in enumerate(items):
+            want = brute_pair(t, x)
+            if want is None:
+                skipped += 1
+            elif want[0] >= 0.5 or want[1] >= 13:
+                hits += 1
+                assert got[d, i] == (pytest.approx(want[0], abs=1e-6), want[1]), (t, x)
+            else:
+                assert (d, i) not in got, (t, x, want)
+    assert hits > 60 and skipped < 60
+
+
+def test_one_changed_number_hides_nothing(spark):
+    """A verbatim sentence counts whatever follows it, and one map of values holds for all alignments."""
+    head, tail = "the keeper of the old mill counted 3 brown sacks of grain before the rain began again", "then sold 3 of them to the baker who lived across the narrow bridge beyond the chapel yard"
+    item = f"{head} {tail}"
+    cut = " ".join("plain words that no item of the set has in it anywhere at all".split() * 2)
+    false = f"{head.replace('3', '5')} suddenly {tail.replace('3', '7')}"
+    texts = [f"{head} {cut}", f"{head} {tail.replace('3', '7')}", false, f"{head} {cut} {head} {cut} " * 300, item.replace("3", "4") + " " + cut + " " + item.replace("3", "6")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.pairs(docs(spark, texts), bench).collect()}
+    assert {0, 1, 3, 4} <= set(got)
+    assert got[0]["longest_run"] == got[3]["longest_run"] == len(head.split()) and got[1]["longest_run"] >= len(head.split())
+    # two values for one: the first sentence agrees with itself for 17 tokens, the second one's windows with the other value go
+    assert (got[2]["n_windows"], got[2]["longest_run"]) == (10 + 8, 17) and got[2]["coverage"] == pytest.approx(brute_pair(false, item)[0], abs=1e-6)
+    assert got[4]["coverage"] == 1 and got[4]["reparameterised"]
+
+
 def test_number_heavy_items_match_verbatim(spark):
     sums, short = "Compute 3 km + 5 km + 7 km - 2 km", "1 4 9 16 25"
     filler = corpus(random.Random(13), 2)
@@ -270,10 +441,8 @@ def test_training_order(spark, tmp_path):
 # ------------------------------------------------------------------ models
 
 
-def test_lm_matches_plain_counts(spark):
-    texts = ["a b a b c", "a b c d", None, "", "zz yy xx", "a b"]
-    labels = spark.createDataFrame([(0, 1), (1, 1), (1, None), (4, 0), (None, 1)], "doc_id long, quality int")
-    got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(docs(spark, texts), labels).collect()}
+def brute_lm(texts, good):
+    """Losses by plain dictionaries, each document by models built anew without it."""
 
     def model(chosen):
         uni, bi = collections.Counter(), collections.Counter()
@@ -284,9 +453,6 @@ def test_lm_matches_plain_counts(spark):
                 bi.update(zip(w, w[1:]))
         return uni, bi, sum(v for k, v in uni.items() if k != "<s>")
 
-    target, back = model(texts[:2]), model(texts)
-    scale = target[2] / back[2]
-
     def loss(m, k, t):
         w = ["<s>", *t.split()]
         total = 0.0
@@ -295,13 +461,42 @@ def test_lm_matches_plain_counts(spark):
             total -= np.log((m[1][h, x] * k + lm_scoring.PRIOR * one) / (m[0][h] * k + lm_scoring.PRIOR))
         return total / (len(w) - 1)
 
+    out = []
     for i, t in enumerate(texts):
-        if t:
-            assert got[i]["target_loss"] == pytest.approx(loss(target, 1, t), abs=1e-5) and got[i]["background_loss"] == pytest.approx(loss(back, scale, t), abs=1e-5)
-        else:
-            assert got[i]["score"] is None and got[i]["n_tokens"] == 0
-    assert got[0]["score"] > got[4]["score"]
+        target, back = model(x for j, x in enumerate(texts) if j in good and j != i), model(x for j, x in enumerate(texts) if j != i)
+        scale = target[2] / back[2] if target[2] and back[2] else 1.0
+        out.append((loss(target, 1, t), loss(back, scale, t)) if t else (None, None))
+    return out
+
+
+def test_lm_matches_plain_counts(spark):
+    texts = ["a b a b c", "a b c d", None, "", "zz yy xx", "a b", "a b a b c", "c d " * 400]
+    labels = spark.createDataFrame([(0, 1), (1, 1), (1, None), (4, 0), (None, 1), (7, 1)], "doc_id long, quality int")
+    table = docs(spark, texts).selectExpr("*", "'x' as block", "1 as part", "2 as n", "3 as target")
+    for got in (lm_scoring.cross_entropy_difference(table, labels), lm_scoring.cross_entropy_difference(table.repartition(3), labels, block=6, part=5)):
+        got = {r["doc_id"]: r for r in got.collect()}
+        for i, (t, b) in enumerate(brute_lm(texts, {0, 1, 7})):
+            if t is None:
+                assert got[i]["score"] is None and got[i]["n_tokens"] == 0
+            else:
+                assert got[i]["target_loss"] == pytest.approx(t, abs=1e-6) and got[i]["background_loss"] == pytest.approx(b, abs=1e-6) and got[i]["score"] == pytest.approx(b - t, abs=1e-6)
     assert lm_scoring.cross_entropy_difference(spark.createDataFrame([], DOCS), labels).count() == 0
+    alone = lm_scoring.cross_entropy_difference(docs(spark, ["a b", "a b"], [1, None]), labels).collect()
+    assert len(alone) == 2 and all(r["n_tokens"] == 2 and r["score"] is not None for r in alone)
+    assert lm_scoring.cross_entropy_difference(docs(spark, ["a b"]), labels.where("false")).count() == 1
+
+
+def test_lm_slices_score_alike():
+    rnd = np.random.default_rng(4)
+    lengths = np.array([0, 5, 0, 700, 3, 90, 0])
+    words, tokens = np.sort(rnd.integers(0, 1 << 62, 50).astype(np.uint64)), rnd.integers(0, 50, int(lengths.sum())).astype(np.int32)
+    x = lm_scoring.Block(words, tokens, lengths, np.array([False, True, False, False, True, True, False]))
+    whole = x.losses(x.t, x.b, 98, 798)
+    old, lm_scoring.SLICE = lm_scoring.SLICE, 10
+    try:
+        assert (x.losses(x.t, x.b, 98, 798) == whole).all()
+    finally:
+        lm_scoring.SLICE = old
 
 
 def test_lm_counts_stay_exact_as_the_corpus_grows(spark):
@@ -309,29 +504,43 @@ def test_lm_counts_stay_exact_as_the_corpus_grows(spark):
     words = 25
     texts = [" ".join(f"w{i}x{j}" for j in range(words)) for i in range(100_000)] + ["one two one three", None]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
-    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")
     got = lm_scoring.cross_entropy_difference(table, labels, block=200_000, part=500_000)
-    scale, starts = words / (100_000 * words + 4), 100_001
-    one = (scale + 1) / (words + lm_scoring.VOCABULARY)
+    starts, rest = 100_001, 100_000 * words + 4 - words
+    scale = 2 * words / rest
 
+    # nothing of these documents occurs elsewhere, so without them their n-grams have no count, and contexts but the first
     def loss(context):
-        return -np.log((scale + lm_scoring.PRIOR * one) / (context + lm_scoring.PRIOR))
+        return -np.log((lm_scoring.PRIOR / (2 * words + lm_scoring.VOCABULARY)) / (context + lm_scoring.PRIOR))
 
-    want = (loss(starts * scale) + (words - 1) * loss(scale)) / words  # each n-gram of these documents occurs once
-    low, high, n = got.where("doc_id between 0 and 99999").agg(F.min("background_loss"), F.max("background_loss"), F.count("*")).first()
-    assert n == 100_000 and got.count() == 100_002 and low == pytest.approx(want, abs=1e-8) and high == pytest.approx(want, abs=1e-8)
+    want = (loss((starts - 1) * scale) + (words - 1) * loss(0)) / words
+    low, high, n = got.where("doc_id between 2 and 99999").agg(F.min("background_loss"), F.max("background_loss"), F.count("*")).first()
+    assert n == 99_998 and got.count() == 100_002 and low == pytest.approx(want, abs=1e-8) and high == pytest.approx(want, abs=1e-8)
 
 
-@pytest.fixture(scope="module")
-def tables(spark):
-    d = "/root/testdata/sf0.01"
-    return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+def rank_auc(s, y):
+    order = np.argsort(np.argsort(s, kind="stable"), kind="stable") + 1
+    return (order[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+
+
+def test_lm_tells_topics_and_repeated_documents(spark):
+    """No label and no own count tells the documents of a topic apart, only the labelled others; a second copy does count."""
+    rnd = random.Random(14)
+    topics = [["".join(rnd.choice(letters) for _ in range(4)) for _ in range(300)] for letters in ("abcdefgh", "efghijkl")]
+    texts = [" ".join(rnd.choice(topics[i % 2]) for _ in range(80)) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 100, 2)], "doc_id long, quality int")
+    table = docs(spark, [*texts, texts[201]])
+    got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(table, labels).collect()}
+    rest = range(100, 200)
+    assert rank_auc(np.array([got[i]["score"] for i in rest]), np.array([1 - i % 2 for i in rest])) > 0.99
+    alone = [got[i]["score"] for i in range(203, 300, 2)]
+    assert got[201]["score"] == got[300]["score"] < min(alone) - 1
 
 
 @pytest.mark.parametrize("size", [500, 1500, 2500, 3500, 20_000])
 def test_dictionaries_reach_the_ends_of_texts(size):
     text = bytes(random.Random(size).choices(range(97, 123), k=size))
-    got = quality._dictionary([text])  # a single text is too little to train on: its blocks as they are
+    got = quality._dictionary(quality._blocks(text))  # a single text is too little to train on: its blocks as they are
     assert text[:500] in got and text[-500:] in got
     assert size > 4096 or all(text[i : i + 8] in got for i in range(size - 7))
 
@@ -345,6 +554,30 @@ def test_quality_held_out(spark, tables):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got.take(50))
 
 
+def test_quality_matches_a_plain_computation(spark, tables):
+    """Scores of whole texts from the compressed sizes of their blocks, by the command of the library alone."""
+    import zstandard
+
+    d, labels = tables
+    m = quality.fit(d, labels, 400)
+    good, bad = (zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x), write_checksum=False, write_content_size=False, write_dict_id=False) for x in (m.good, m.bad))
+    rows = d.limit(120).collect()
+    got = {r["doc_id"]: r["score"] for r in quality.score(d, m).collect()}
+    for r in rows:
+        x = (r["text"] or "").encode()
+        parts = [x[i : i + 1024] for i in range(0, len(x), 1024)]
+        diff = [len(bad.compress(p)) - len(good.compress(p)) for p in parts]
+        z = m.weights[0] + m.weights[1] * sum(diff) / (len(x) + 256) + m.weights[2] * sum(len(p) for p, v in zip(parts, diff) if v <= 0) / (len(x) + 256)
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_quality_learns_from_the_fitting_folds_alone(spark, tables):
+    d, labels = tables
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    m = quality.fit(d, labels, 400)
+    assert m == quality.fit(d.withColumn("text", F.when(out, "spoilt").otherwise(F.col("text"))), labels.withColumn("quality", F.when(out, 0).otherwise(F.col("quality"))), 400)
+
+
 def test_quality_edges(spark, tables):
     d, labels = tables
     odd = docs(spark, [None, "", "x" * 200_000, "same", "same"], [0, 1, 2, 3, None])
@@ -372,6 +605,54 @@ def test_chain_feeds_probabilities():
     assert m.extra[0] > 1
 
 
+def test_toxicity_matches_a_plain_computation(spark, tables):
+    """Probabilities of the chain, word by word, from the fitted weights."""
+    from planproof.llm.textblock import MULT, Words, mix
+
+    d, labels = tables
+    models = toxicity.fit(d, labels, max_rows=200)
+    got = {r["doc_id"]: r for r in toxicity.score(d, models).collect()}
+    for r in d.limit(60).collect():
+        w = Words(pa.array([r["text"]]))
+        slots = {int(mix(np.array([h], np.uint64) * MULT[20])[0] >> np.uint64(16)) & (toxicity.SLOTS - 1) for h in set(w.hash.tolist())}
+        # distinct words count, also where two of them share a slot
+        words = {int(mix(np.array([h], np.uint64) * MULT[20])[0] >> np.uint64(16)) for h in set(w.hash.tolist())}
+        before = []
+        for m in models:
+            z = m.bias + sum(float(m.slots[x & (toxicity.SLOTS - 1)]) for x in words) + sum(p * v for p, v in zip(before, m.extra))
+            before.append(1 / (1 + np.exp(-z)))
+        assert len(slots) <= len(words) and [got[r["doc_id"]][f"p_{c[0]}"] for c in toxicity.CHAIN] == pytest.approx(before, abs=1e-6)
+        assert got[r["doc_id"]]["toxic"] == int(before[-1] >= 0.5)
+
+
+LONG = " ".join(f"word{i % 700} of{i % 31}" for i in range(60_000))
+#: Columns that the operators use themselves; none of them is read.
+CLASH = [f"'x' as {n}" for n in ("_rank", "_bucket", "shard", "slot", "band", "comp", "rep", "score", "y", "turn", "target", "block", "part", "hash", "id", "item_id", "length", "piece", "class_id", "again", "n", "size", "count")]
+
+
+def test_odd_rows_through_every_operator(spark, tables):
+    """Null ids and texts, repeated rows, a very long text, clashing columns; then no rows at all."""
+    d, labels = tables
+    odd = docs(spark, [LONG, LONG, None, "", "a b c", "a b c"], [1, 1, 2, None, None, 5]).selectExpr("*", *CLASH)
+    few = labels.limit(60).unionByName(spark.createDataFrame([(1, 1, 0), (5, 0, 1), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")).selectExpr("*", "'z' as text", "1 as y", "2 as turn")
+    bench = spark.createDataFrame([(1, LONG[:300]), (None, LONG[:300]), (2, None), (3, "")], "item_id long, text string").selectExpr("*", "'x' as doc_id", "1 as pos", "2 as nth")
+    ids = lambda df: sorted((r["doc_id"] or -1) for r in df.collect())
+    every = [-1, -1, 1, 1, 2, 5]
+    both = d.limit(40).selectExpr("*", *CLASH).unionByName(odd)
+    assert ids(quality.classify(odd, few)) == every and quality.keep_good(both, few).columns == odd.columns
+    assert ids(toxicity.classify(odd, few)) == every
+    assert ids(lm_scoring.cross_entropy_difference(odd, few)) == every
+    assert ids(bm.groups(odd)) == every and ids(bm.keep_one(odd)) == [-1, -1, 1, 2, 5] and bm.keep_one(odd).columns == odd.columns
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.pairs(odd, bench).collect()} == {(1, 1)} and ids(decontam.clean(odd, bench)) == [-1, -1, 2, 5]
+    packed = packing.pack(odd).collect()
+    assert {r["doc_id"] for r in packed} == {1, 2, 5, None} and len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed)
+    placed = training_order.materialised(odd).collect()
+    assert {r["doc_id"] for r in placed} == {1, 2, 5, None} and max(sum(r["length"] for r in placed if r["doc_id"] == i) for i in (1, 5)) > 200_000
+    none = odd.where("false")
+    for f in (lambda x: quality.classify(x, few), lambda x: toxicity.classify(x, few), lambda x: lm_scoring.cross_entropy_difference(x, few), bm.groups, bm.keep_one, lambda x: decontam.pairs(x, bench), lambda x: decontam.clean(x, bench), packing.pack, training_order.materialised):
+        assert f(none).count() == 0
+
+
 # ------------------------------------------------------------------ pipeline
 
 

@@ -8,6 +8,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.fs
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,6 +60,28 @@ def test_word_ids_are_the_tokenizers(text):
     assert got == t.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_word_ids_of_any_characters(text):
+    test_word_ids_are_the_tokenizers.hypothesis.inner_test(text)
+
+
+def test_many_new_words_are_encoded_whole():
+    w = word_ids(default_path(), "I").__class__(default_path(), "I")
+    w.WINDOW = 50
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(8)]
+    plain = [np.frombuffer(w.text(t), "<u4").tolist() for t in texts]
+    assert w.whole and not len(w) and plain == [list(w.encode(t)) for t in texts]
+
+
+def test_ids_beyond_16_bits_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    Tokenizer(models.WordLevel({"a": 70_000, "[UNK]": 0}, unk_token="[UNK]")).save(str(tmp_path / "wide.json"))
+    with pytest.raises(ValueError, match="65,535"):
+        word_ids(str(tmp_path / "wide.json"), "H")
+
+
 # ------------------------------------------------------------------ PII
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -109,8 +133,23 @@ def test_pii_report(spark):
     assert not pii.mod97("DE89370400440532013001") and pii.mod97("GB82WEST12345698765432")
 
 
-def test_huge_numbers_do_not_raise():
+def test_long_texts_cost_their_length():
+    import time
+
     assert pii.find("9" * 6000 + ".1.1.1 " + "0" * 6000 + "1.2.3.4") is not None
+    for text in ("1" * 1_000_000, "1 " * 400_000, "+1" + "(" * 1_000_000, "a" * 500_000 + "@" + "b" * 500_000, "a@" * 400_000, "_" * 1_000_000):
+        began = time.perf_counter()
+        pii.find(text)
+        assert time.perf_counter() - began < 2, text[:4]
+
+
+def test_pii_edges(spark):
+    odd = spark.createDataFrame([(None, "a@b.cd", "x"), (3, None, None), (3, "", "y"), (4, "1" * 300_000 + " call +1 649 555 1648", None)], "doc_id long, text string, spans string").selectExpr("*", "1 as n_ip", "'k' as kind")
+    rows = sorted(map(tuple, pii.report(odd).select("doc_id", "n_email", "n_phone").collect()), key=str)
+    assert rows == [(3, 0, 0), (3, 0, 0), (4, 0, 1), (None, 1, 0)]
+    assert pii.report(odd.where("false")).count() == 0 and pii.mask(odd.where("false")).columns == odd.columns
+    strict = spark.createDataFrame([(1, "a@b.cd", 6)], spark.createDataFrame([], "doc_id long not null, text string not null, n_chars long not null").schema)
+    assert pii.mask(strict).first()["text"] == "<EMAIL>" and pii.mask(odd).count() == 4
 
 
 # ------------------------------------------------------------------ URLs
@@ -138,26 +177,89 @@ def test_urls_match_sql(spark):
     assert sorted(map(tuple, url_vocab.judge(df).collect())) == sorted(c.execute(url_vocab.oracle()).fetchall())
 
 
+def test_url_edges(spark):
+    odd = spark.createDataFrame([(None, "http://casino.org/"), (1, None), (1, "http://a.org/" + "free-" * 200_000)], "page_id long, url string").selectExpr("*", "'x' as verdict", "'y' as rule", "1 as n_soft")
+    assert sorted(((r["page_id"], r["verdict"]) for r in url_vocab.judge(odd).collect()), key=str) == [(1, "allow"), (1, "allow"), (None, "block")]
+    assert url_vocab.judge(odd.where("false")).count() == 0
+
+
 # ------------------------------------------------------------------ audio
 
 
-def test_audio_round_trip(spark):
+def test_audio_round_trip(spark, tmp_path):
     texts = [*TEXTS, "a" * 64, "b" * 65, "a" * 64]
     out = {r["doc_id"]: r for r in audio.featurize(docs(spark, texts, True)).collect()}
-    dig = {r["doc_id"]: r for r in audio.digest(audio.featurize(docs(spark, texts))).collect()}
+    dig = {r["doc_id"]: r for r in audio.materialise(docs(spark, texts, True).repartition(3), f"file://{tmp_path}/audio").collect()}
+    seen = {}
+    for n in sorted(tmp_path.glob("audio/media-*.arrow")):
+        files = [list(audio._batches(pa.fs.LocalFileSystem(), str(n).replace("media-", f"{kind}-"))) for kind in ("media", "tensors", "segments")]
+        assert len({len(f) for f in files}) == 1
+        for m, t, s in zip(*files):
+            assert t.schema.field("log_mel").type == audio.TENSOR and t.schema.field("log_mel").type.shape == [audio.TENSOR_FRAMES, audio.MELS]
+            for k, doc in enumerate(m.column("doc_id").to_pylist()):
+                mine = t.filter(pa.compute.equal(t.column("row"), k))
+                seen[doc] = (m.column("media")[k].as_py(), mine, s.column("segments")[k].as_py())
+    assert not list(tmp_path.glob("audio/*.tmp")) and set(seen) == set(range(len(texts)))
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         pad = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
-        with wave.open(io.BytesIO(out[i]["media"])) as w:
+        media, tensors, spans = seen[i]
+        with wave.open(io.BytesIO(media)) as w:
             assert w.readframes(w.getnframes()) == pad and w.getsampwidth() == 1
         d = dig[i]
         assert (d["n_bytes"], d["payload_bytes"], d["payload_sha256"], d["tail_crc32"]) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
-        assert d["media_bytes"] == len(out[i]["media"]) and d["media_sha256"] == hashlib.sha256(out[i]["media"]).hexdigest()
-        table = pa.ipc.open_stream(bytes(out[i]["tensors"])).read_all()
-        assert table.schema.field("log_mel").type.shape == [audio.TENSOR_FRAMES, audio.MELS] and table["end_s"][-1].as_py() >= len(pad) / audio.RATE - 0.03
+        assert d["media_bytes"] == len(media) and d["media_sha256"] == hashlib.sha256(media).hexdigest() and bytes(out[i]["media"]) == media
+        mel, want = audio.features(media)
+        frames = np.concatenate(list(tensors.column("log_mel").storage.to_numpy(zero_copy_only=False))).reshape(-1, audio.MELS)
+        assert (frames[: len(mel)] == mel).all() and not frames[len(mel) :].any() and tensors.column("frames").to_pylist() == [min(64, len(mel) - a) for a in range(0, len(mel), 64)]
+        assert spans == want and tensors.column("end_s")[-1].as_py() >= len(pad) / audio.RATE - 0.03 and tensors.column("begin_s")[0].as_py() == 0
+        assert pa.ipc.open_stream(bytes(out[i]["tensors"])).read_all()["log_mel"].combine_chunks().storage.equals(tensors.column("log_mel").storage)
+        x = audio.resample((np.frombuffer(pad, np.uint8).astype(np.float32) - 128) / 128, audio.RATE)
+        brute = plain_mel(x)
+        assert brute.shape == mel.shape and np.abs(brute - mel).max() <= 1 / 64 and plain_segments(x) == audio.segments(x)
     assert dig[len(TEXTS)]["feature"] == dig[len(TEXTS) + 2]["feature"] != dig[len(TEXTS) + 1]["feature"]
 
 
+def plain_mel(x):
+    """One frame and one band at a time."""
+    frames = max(1, 1 + -(-(len(x) - audio.WIN) // audio.HOP))
+    x = np.concatenate([np.asarray(x, float), np.zeros(frames * audio.HOP + audio.WIN)])
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [hz(mel(20) + (mel(audio.TARGET / 2) - mel(20)) * i / (audio.MELS + 1)) for i in range(audio.MELS + 2)]
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / audio.WIN) for i in range(audio.WIN)]
+    out = np.zeros((frames, audio.MELS))
+    for k in range(min(frames, 400)):
+        power = np.abs(np.fft.rfft(x[k * audio.HOP : k * audio.HOP + audio.WIN] * window, audio.FFT)) ** 2
+        for b in range(audio.MELS):
+            lo, mid, hi = edges[b : b + 3]
+            f = np.arange(audio.FFT // 2 + 1) * audio.TARGET / audio.FFT
+            out[k, b] = np.log10(power @ np.maximum(0, np.minimum((f - lo) / (mid - lo), (hi - f) / (hi - mid))) + 1e-6)
+    if frames > 400:
+        out[400:] = audio.log_mel(x[: len(x) - frames * audio.HOP - audio.WIN].astype(np.float32), audio.TARGET)[400:]
+    return out
+
+
+def plain_segments(x):
+    """A state machine over the hops."""
+    db = [10 * np.log10(float(np.sum(np.asarray(x[a : a + audio.HOP], float) ** 2)) / audio.HOP + 1e-9) for a in range(0, len(x), audio.HOP)]
+    mid, begin, out = np.median(db), None, []
+    for k, v in enumerate(db):
+        if begin is None and v - mid >= audio.RISE:
+            begin = k
+        elif begin is not None and v - mid < audio.FALL:
+            out.append((begin, k))
+            begin = None
+    return out + ([(begin, len(db))] if begin is not None else [])
+
+
+def test_audio_edges(spark, tmp_path):
+    odd = spark.createDataFrame([(None, "abc"), (3, None), (3, "abc")], "doc_id long, text string").selectExpr("*", "'x' as media", "1 as n_bytes")
+    rows = audio.materialise(odd, f"file://{tmp_path}/a").collect()
+    assert sorted((r["doc_id"] or -1, r["n_bytes"]) for r in rows) == [(-1, 3), (3, 0), (3, 3)]
+    assert audio.materialised(odd.where("false")).count() == 0 and audio.featurize(odd.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("rate,target", [(16000, 8000), (44100, 16000), (8000, 16000)])
 def test_resampling_keeps_a_tone(rate, target):
     t = np.arange(rate) / rate
