@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from planproof.llm import bagminhash, decontam, packing, pii, quality
-from planproof.llm.common import stored, table
+from planproof.llm.common import scoped, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,9 @@ STAGES = [
 ORACLE_SQL = None  # learned scores, signatures and token ids are beyond SQL; tests compare with brute force
 
 
+@scoped
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, stored; what the stages stored on the way is removed."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
