@@ -11,7 +11,7 @@ from planproof.functions import json as js
 from planproof.functions import scalar
 from planproof.operators import breakdown as bd
 from planproof.operators import conventions, diff, judge, metrics, profile, quality
-from planproof.plans import generate, graph, infer
+from planproof.plans import compare, generate, graph, infer, project
 from planproof.plans.marts import Marts
 from planproof.session import configured
 
@@ -262,10 +262,11 @@ _METRICS = [metrics.Metric(n, measure=n) for n in _SEMANTIC.measures] + [
     metrics.Metric("cancelled_share", "derived", expr="cancelled / order_count * 100", inputs=["cancelled", "order_count"]),
     metrics.Metric("all_time_net", "cumulative", measure="net"),
     metrics.Metric("weekly_net", "cumulative", measure="net", window="7 days"),
+    metrics.Metric("daily_open", measure="order_count", filters=["{{ TimeDimension('order__status', 'day').grain('day') }} = 'O'"]),
     metrics.Metric("orders_per_customer", "ratio", numerator="order_count", denominator="customer_count"),
 ]
-COMPILER = metrics.SemanticCompiler([_SEMANTIC, _CUSTOMERS], _METRICS)
-_BY_NAME = {c.name: c for c in COMPILER.all()}
+READER = metrics.SemanticReader([_SEMANTIC, _CUSTOMERS], _METRICS)
+_BY_NAME = {c.name: c for c in READER.all()}
 
 
 def _metric_query(key: str, metric: str, sql: str):
@@ -283,20 +284,21 @@ _metric_query("metric_max", "last_key", "max(order_id)")
 _metric_query("metric_median", "mid_units", "median(units)")
 _metric_query("metric_sum_boolean", "cancelled", "sum(CASE WHEN is_cancelled THEN 1 ELSE 0 END)::BIGINT")
 _metric_query("metric_filtered", "open_net", "(sum(net_amount_cents) FILTER (WHERE status <> 'P' AND is_open = true))::BIGINT")
+_metric_query("metric_grain", "daily_open", "count(order_id) FILTER (WHERE status = 'O')")
 _metric_query("metric_ratio", "net_per_order", "CAST(sum(net_amount_cents) AS DOUBLE) / nullif(count(order_id), 0)")
 _metric_query("metric_derived", "cancelled_share", "CAST(sum(CASE WHEN is_cancelled THEN 1 ELSE 0 END) AS DOUBLE) / CAST(count(order_id) AS DOUBLE) * 100")
 _metric_query("metric_cumulative_all_time", "all_time_net", "sum(net_amount_cents)::BIGINT")
 
-_BI = metrics.BiCompiler("fct_orders", {
-    "order_id": {"orders": {"type": "count"}, "big_orders": {"type": "count", "filters": [{"units": ">= 100"}, {"status": "!F"}]}},
+_BI = metrics.BiReader("fct_orders", {
+    "order_id": {"orders": {"type": "count"}, "big_orders": {"type": "COUNT", "filters": [{"units": ">= 100"}, {"status": "!F"}]}},
     "net_amount_cents": {"net": {"type": "sum"}},
     "channel": {"urgent": {"type": "count", "filters": [{"channel": "1-URGENT, 2-HIGH"}]}, "known": {"type": "count", "filters": [{"channel": "!null"}, {"is_open": True}]}},
-}, {"net_per_order": {"type": "number", "sql": "${net} / nullif(${orders}, 0)"}, "loop": {"type": "number", "sql": "${loop} + 1"}})
+}, {"net_per_order": {"type": "number", "sql": "${net} / nullif(${orders}, 0)"}, "net_per_unit": {"type": "NUMBER", "sql": "sum(${fct_orders.net_amount_cents}) / sum(${units})"}, "loop": {"type": "number", "sql": "${loop} + 1"}})
 
 
 @query(f"""WITH {_CTES} SELECT count(order_id) AS orders, count(order_id) FILTER (WHERE units >= 100 AND status <> 'F') AS big_orders, sum(net_amount_cents)::BIGINT AS net,
 count(channel) FILTER (WHERE channel IN ('1-URGENT', '2-HIGH')) AS urgent, count(channel) FILTER (WHERE channel IS NOT NULL AND is_open) AS known,
-sum(net_amount_cents)::BIGINT / nullif(count(order_id), 0) AS net_per_order FROM fct_orders""")
+sum(net_amount_cents)::BIGINT / nullif(count(order_id), 0) AS net_per_order, sum(net_amount_cents)::BIGINT / sum(units)::BIGINT AS net_per_unit FROM fct_orders""")
 def metric_bi_number(m):
     return metrics.batch(m.fct_orders(), _BI.all())[0]
 
@@ -313,9 +315,13 @@ def metric_batch(m):
     return metrics.batch(m.fct_orders(), [_BY_NAME[n] for n in names])[0]
 
 
-@query("""SELECT * FROM (VALUES ('p90', 'aggregation `percentile` is not evaluated'), ('weekly_net', 'cumulative over a 7 days window needs a time spine and is not evaluated')) t(metric, reason)""")
+@query("""WITH declared(metric, kind, agg, span) AS (VALUES {rows})
+SELECT metric, CASE WHEN span <> '' THEN 'running' ELSE 'aggregation' END AS why FROM declared
+WHERE span <> '' OR (kind IN ('simple', 'cumulative') AND agg NOT IN ('sum', 'count', 'count_distinct', 'average', 'min', 'max', 'median', 'sum_boolean'))""".format(
+    rows=", ".join(f"('{m.name}', '{m.type}', '{_SEMANTIC.measures[m.measure].agg if m.measure in _SEMANTIC.measures else 'count'}', '{m.window}')" for m in _METRICS)))
 def metric_refused(m):
-    return m.spark.createDataFrame([(c.name, c.unsupported) for c in COMPILER.all() if c.unsupported], "metric string, reason string")
+    rows = [(c.name, "running" if "running value" in c.unsupported else "aggregation") for c in READER.all() if c.unsupported]
+    return m.spark.createDataFrame(rows, "metric string, why string")
 
 
 _FLAGSHIP = metrics.config_metrics([
@@ -475,39 +481,81 @@ def fixture_bound(m):
 
 # ------------------------------------------------------------------ conventions
 
-_NODES = [("stg_shop__orders", "staging", 1, 0, True), ("orders_stage", "staging", 1, 0, True), ("stg_shop__all", "staging", 2, 0, False), ("stg_shop__mix", "staging", 1, 1, True), ("int_orders__sum", "intermediate", 0, 1, True), ("fct_orders", "marts", 1, 1, False), ("summary", "marts", 0, 2, True)]
+#: Models made up from the orders: every mix of name, layer, reads and description; the same SQL on both sides.
+_NODES = {
+    "model": "CASE o_orderkey % 11 WHEN 0 THEN 'stg_shop__orders' WHEN 1 THEN 'stg_shop' WHEN 2 THEN 'int_orders__sum' WHEN 3 THEN 'fct_sales' WHEN 4 THEN 'dim_x' WHEN 5 THEN 'Fct_Sales' WHEN 6 THEN 'my_stg_shop__orders' "
+    "WHEN 7 THEN 'stg_Shop__orders' WHEN 8 THEN 'int__x' WHEN 9 THEN 'fct_' ELSE 'sales' END || CAST(o_orderkey AS VARCHAR(20))",
+    "layer": "CASE o_orderkey % 5 WHEN 0 THEN 'staging' WHEN 1 THEN 'intermediate' WHEN 2 THEN 'marts' WHEN 3 THEN 'utilities' ELSE '' END",
+    "sources": "CAST(o_custkey % 3 AS INT)",
+    "refs": "CAST(o_orderkey % 7 % 3 AS INT)",
+    "described": "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 6 <> 0 END",
+}
+_NODE_SQL = "nodes AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _NODES.items()) + " FROM orders)"
+_NAMED = " OR ".join(f"(layer = '{layer}' AND NOT regexp_matches(model, '{pattern}'))" for layer, pattern in conventions.HOUSE["layers"].items())
+_LAYERED = """SELECT model, 1 AS n FROM nodes WHERE layer = 'staging' AND sources <> 1 UNION ALL SELECT model, 2 FROM nodes WHERE layer = 'staging' AND refs > 0
+UNION ALL SELECT model, 3 FROM nodes WHERE layer NOT IN ('staging', '') AND sources > 0"""
 
 
 def _nodes(m):
-    return m.spark.createDataFrame(_NODES, "model string, layer string, sources int, refs int, described boolean")
+    return m.table("orders").selectExpr(*(f"{e} AS {n}" for n, e in _NODES.items()))
 
 
-@query("SELECT * FROM (VALUES ('naming', 'orders_stage'), ('naming', 'summary')) t(rule, model)")
+@query(f"WITH {_NODE_SQL} SELECT 'naming' AS rule, model FROM nodes WHERE {_NAMED}")
 def conv_naming(m):
     return conventions.naming(_nodes(m)).select("rule", "model")
 
 
-@query("SELECT * FROM (VALUES ('layering', 'stg_shop__all'), ('layering', 'stg_shop__mix'), ('layering', 'fct_orders')) t(rule, model)")
+#: Of a project's own patterns the first is not anchored, and still holds from the name's start on.
+_OWN_RULES = {"preset": "team", "presets": {"team": {"layers": {"staging": "stg_shop", "marts": "fct_[a-z]+[0-9]*$"}, "hints": {"marts": "fct_<event>"}, "rules": {"naming": "warn"}}}}
+
+
+@query(f"""WITH {_NODE_SQL} SELECT model, 'warn' AS severity, CASE layer WHEN 'staging' THEN 'a model in `staging/` is named to match stg_shop' ELSE 'a model in `marts/` is named fct_<event>' END AS message
+FROM nodes WHERE (layer = 'staging' AND NOT starts_with(model, 'stg_shop')) OR (layer = 'marts' AND NOT regexp_full_match(model, 'fct_[a-z]+[0-9]*'))""")
+def conv_own_rules(m):
+    c = conventions.from_config(_OWN_RULES)
+    return conventions.naming(_nodes(m), c.layers, c.severity("naming"), c.hints).select("model", "severity", "message")
+
+
+@query(f"WITH {_NODE_SQL} SELECT 'layering' AS rule, model, count(*) AS n FROM ({_LAYERED}) GROUP BY model")
 def conv_layering(m):
-    return conventions.layering(_nodes(m)).select("rule", "model")
+    return conventions.layering(_nodes(m)).groupBy("rule", "model").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_NODE_SQL} SELECT 'description' AS rule, model FROM nodes WHERE NOT coalesce(described, false)")
+def conv_description(m):
+    return conventions.description(_nodes(m)).select("rule", "model")
+
 
+_TESTED = {"model": "'m' || CAST(o_custkey AS VARCHAR(20))", "column": "'c' || CAST(o_orderkey % 3 AS VARCHAR(20))", "test": "CASE WHEN o_orderkey % 5 < 2 THEN 'unique' WHEN o_orderkey % 5 = 2 THEN 'not_null' ELSE 'accepted_values' END"}
 
-@query("SELECT * FROM (VALUES ('primary_key', 'b'), ('primary_key', 'c'), ('primary_key', 'd')) t(rule, model)")
+
+@query("""WITH tests AS (SELECT {} FROM orders WHERE o_orderkey % 4 = 0) SELECT 'primary_key' AS rule, 'm' || c_custkey AS model FROM customer WHERE 'm' || c_custkey NOT IN
+(SELECT u.model FROM tests u JOIN tests n ON u.model = n.model AND u."column" = n."column" WHERE u.test = 'unique' AND n.test = 'not_null')""".format(", ".join(f'{e} AS "{n}"' for n, e in _TESTED.items())))
 def conv_primary_key(m):
-    tests = m.spark.createDataFrame([("a", "id", "unique"), ("a", "id", "not_null"), ("b", "id", "unique"), ("c", "id", "unique"), ("c", "key", "not_null")], "model string, column string, test string")
-    return conventions.primary_key(m.spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "model string"), tests).select("rule", "model")
+    tests = m.table("orders").where("o_orderkey % 4 = 0").selectExpr(*(f"{e} AS `{n}`" for n, e in _TESTED.items()))
+    return conventions.primary_key(m.table("customer").selectExpr("'m' || c_custkey AS model"), tests).select("rule", "model")
+
+
+_COLUMNS_OF = {
+    "model": "'m' || CAST(o_orderkey AS VARCHAR(20))",
+    "layer": "CASE o_orderkey % 4 WHEN 0 THEN 'utilities' ELSE 'marts' END",
+    "column_name": "CASE o_orderkey % 9 WHEN 0 THEN 'created_at' WHEN 1 THEN 'created' WHEN 2 THEN 'order_date' WHEN 3 THEN 'is_open' WHEN 4 THEN 'has_items' WHEN 5 THEN 'open' WHEN 6 THEN 'BadName' WHEN 7 THEN 'island' ELSE '9lives' END",
+    "type": "CASE o_orderkey % 5 WHEN 0 THEN 'TIMESTAMP_NTZ' WHEN 1 THEN 'date' WHEN 2 THEN 'BOOLEAN' WHEN 3 THEN 'timestamp' ELSE 'BIGINT' END",
+}
 
 
-@query("SELECT * FROM (VALUES ('column_naming', 'active'), ('column_naming', 'BadName'), ('column_naming', 'created')) t(rule, column_name)")
+@query("WITH c AS (SELECT {} FROM orders) SELECT 'column_naming' AS rule, model, column_name FROM c WHERE layer = 'marts' AND (NOT regexp_full_match(column_name, '[a-z][a-z0-9_]*') "
+       "OR (upper(type) LIKE 'TIMESTAMP%' AND NOT ends_with(column_name, '_at')) OR (upper(type) = 'DATE' AND NOT ends_with(column_name, '_date')) "
+       "OR (upper(type) = 'BOOLEAN' AND NOT (starts_with(column_name, 'is_') OR starts_with(column_name, 'has_'))))".format(", ".join(f"{e} AS {n}" for n, e in _COLUMNS_OF.items())))
 def conv_column_naming(m):
-    cols = m.spark.createDataFrame([("d", "customer_id", "BIGINT"), ("d", "created", "TIMESTAMP"), ("d", "first_order_date", "DATE"), ("d", "active", "BOOLEAN"), ("d", "is_business", "BOOLEAN"), ("d", "BadName", "STRING")], "model string, column_name string, type string")
-    return conventions.column_naming(cols).select("rule", "column_name")
+    cols = m.table("orders").selectExpr(*(f"{e} AS {n}" for n, e in _COLUMNS_OF.items()))
+    return conventions.column_naming(cols, layers=conventions.HOUSE["layers"]).select("rule", "model", "column_name")
 
 
-@query("SELECT * FROM (VALUES ('error', 5::BIGINT), ('warn', 2::BIGINT)) t(severity, violations)")
+@query(f"WITH {_NODE_SQL}, v AS (SELECT 'error' AS severity FROM nodes WHERE {_NAMED} UNION ALL SELECT 'error' FROM ({_LAYERED}) UNION ALL SELECT 'warn' FROM nodes WHERE NOT coalesce(described, false)) SELECT severity, count(*) AS violations FROM v GROUP BY severity")
 def conv_severity_counts(m):
-    n = _nodes(m)
-    every = conventions.naming(n).union(conventions.layering(n, severity="error")).union(conventions.description(n))
+    n, c = _nodes(m), conventions.Conventions()
+    every = conventions.naming(n).union(conventions.layering(n, severity=c.severity("layering"))).union(conventions.description(n, c.severity("description")))
     return every.groupBy("severity").agg(F.count("*").alias("violations"))
 
 
@@ -616,16 +664,13 @@ def join_anti(m):
     return quality.relationships(m.table("lineitem").select((F.col("l_suppkey") + 1).alias("l_suppkey")), "l_suppkey", m.table("supplier"), "s_suppkey")
 
 
-@query("SELECT * FROM (VALUES ('orders', 'revenue', 'semantic'), ('orders', 'count', 'bi'), ('items', 'revenue', 'config')) t(relation, metric, source)")
-def metric_first_definition(m):
-    c = metrics.Compiled
-    found = metrics.first_of_each([c("revenue", "orders")], [c("revenue", "orders", source="bi"), c("count", "orders", source="bi")], [c("count", "orders", source="config"), c("revenue", "items", source="config")])
-    return m.spark.createDataFrame([(x.relation, x.name, x.source) for x in found], "relation string, metric string, source string")
+_DEFINED = [("semantic", 1, "orders", "revenue"), ("bi", 2, "orders", "revenue"), ("bi", 2, "orders", "count"), ("bi", 2, "items", "units"), ("config", 3, "orders", "count"), ("config", 3, "items", "revenue"), ("config", 3, "items", "units")]
 
 
-@query("SELECT * FROM (VALUES ('description', 'stg_shop__all'), ('description', 'fct_orders')) t(rule, model)")
-def conv_description(m):
-    return conventions.description(_nodes(m)).select("rule", "model")
+@query("WITH d(source, place, relation, metric) AS (VALUES {}) SELECT relation, metric, arg_min(source, place) AS source FROM d GROUP BY relation, metric".format(", ".join(map(str, _DEFINED))))
+def metric_first_definition(m):
+    kinds = [[metrics.Definition(n, metrics.Leaf(r, "count", "*"), source=s) for s, _, r, n in _DEFINED if s == kind] for kind in ("semantic", "bi", "config")]
+    return m.spark.createDataFrame([(x.relation, x.name, x.source) for x in metrics.first_of_each(*kinds)], "relation string, metric string, source string")
 
 
 @query("SELECT * FROM (VALUES (1, 'no column a in run.t'), (2, 'no column a in run.t'), (3, 'took ')) t(k, message)")
@@ -643,3 +688,66 @@ def json_valid_exists(m):
 @query("SELECT 'l_shipdate' AS dimension, count(DISTINCT date_trunc('month', l_shipdate)) AS n_distinct FROM lineitem UNION ALL SELECT 'l_flags', count(DISTINCT l_returnflag || l_linestatus) FROM lineitem")
 def distinct_expressions(m):
     return bd.distinct_counts(m.table("lineitem"), {"l_shipdate": "date_trunc('month', l_shipdate)", "l_flags": "l_returnflag || l_linestatus"})
+
+
+# ------------------------------------------------------------------ whole runs
+
+
+def _project(models: dict[str, str]) -> project.Project:
+    p = project.Project("")
+    for t in ("orders", "customer"):
+        p.sources["shop", t] = project.Source("shop", t, t)
+    for name, sql in models.items():
+        p.models[name] = project.Model(name, sql)
+    return project.linked(p)
+
+
+def _sources(m):
+    return {f"source.shop.{t}": m.table(t) for t in ("orders", "customer")}
+
+
+_STAGED = "SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS total, o_orderstatus AS status FROM {{ source('shop', 'orders') }}"
+_PAID = "SELECT order_id, customer_id, total FROM {{ ref('staged') }} WHERE status = 'F'"
+_SPENT = "SELECT c_custkey AS customer_id, c_mktsegment AS segment, p.paid FROM {{ source('shop', 'customer') }} LEFT JOIN (SELECT customer_id, count(*) AS paid FROM {{ ref('paid') }} GROUP BY customer_id) p ON c_custkey = p.customer_id"
+_RUN_BASE = {"staged": _STAGED, "paid": _PAID, "spent": _SPENT, "segments": "SELECT segment, sum(paid) AS paid FROM {{ ref('spent') }} GROUP BY segment"}
+_RUN_HEAD = {**_RUN_BASE, "paid": _PAID.replace("= 'F'", "IN ('F', 'P')")}
+
+
+_RUN_SQL = """staged AS (SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS total, o_orderstatus AS status FROM orders),
+paid_base AS (SELECT order_id, customer_id, total FROM staged WHERE status = 'F'), paid_head AS (SELECT order_id, customer_id, total FROM staged WHERE status IN ('F', 'P')),
+spent_base AS (SELECT c_custkey AS customer_id, c_mktsegment AS segment, p.paid FROM customer LEFT JOIN (SELECT customer_id, count(*) AS paid FROM paid_base GROUP BY customer_id) p ON c_custkey = p.customer_id),
+spent_head AS (SELECT c_custkey AS customer_id, c_mktsegment AS segment, p.paid FROM customer LEFT JOIN (SELECT customer_id, count(*) AS paid FROM paid_head GROUP BY customer_id) p ON c_custkey = p.customer_id),
+segments_base AS (SELECT segment, sum(paid)::BIGINT AS paid FROM spent_base GROUP BY segment), segments_head AS (SELECT segment, sum(paid)::BIGINT AS paid FROM spent_head GROUP BY segment)"""
+
+
+def _compared(name: str) -> str:
+    return f"""SELECT '{name}' AS model, 'success' AS outcome, (SELECT count(*) FROM {name}_base) AS rows_base, (SELECT count(*) FROM {name}_head) AS rows_head,
+(SELECT count(*) FROM (SELECT * FROM {name}_head EXCEPT ALL SELECT * FROM {name}_base)) AS rows_differing"""
+
+
+@query(f"WITH {_RUN_SQL} " + " UNION ALL ".join(_compared(n) for n in ("paid", "spent", "segments")))
+def run_compared(m):
+    """A whole run: what is affected is built on both sides, and the rows of each model are compared."""
+    out = compare.run(m.spark, _project(_RUN_HEAD), _project(_RUN_BASE), _sources(m))
+    rows = [(x.name, x.outcome, x.diff.rows_base, x.diff.rows_head, x.diff.rows_differing) for x in out.models if x.diff]
+    return m.spark.createDataFrame(rows, "model string, outcome string, rows_base long, rows_head long, rows_differing long")
+
+
+#: Models that fail only in the data: on head, on base, on both, on neither; each has a child.
+_BROKEN = [(f"m{h}{b}{c}", h, b, c) for h in (0, 1) for b in (0, 1) for c in (0, 1)]
+
+
+def _cast(fails: int, more: str = "") -> str:
+    return f"SELECT o_orderkey, {'cast' if fails else 'try_cast'}(o_orderstatus AS INT) AS n{more} FROM {{{{ source('shop', 'orders') }}}}"
+
+
+@query("""WITH cases(model, h, b, c) AS (VALUES {}), own AS (SELECT model, h, b, c, CASE WHEN h = 0 THEN 'success' WHEN b = 0 THEN 'failed' ELSE 'unverified_broken_on_base' END AS outcome FROM cases WHERE c = 1 OR h <> b),
+reached AS (SELECT model, outcome FROM own UNION ALL SELECT model || '_child', CASE outcome WHEN 'failed' THEN 'skipped' WHEN 'unverified_broken_on_base' THEN 'skipped_by_unverified' ELSE outcome END FROM own)
+SELECT * FROM reached WHERE (SELECT count(*) FROM orders WHERE try_cast(o_orderstatus AS INT) IS NULL) > 0""".format(", ".join(map(str, _BROKEN))))
+def run_failures(m):
+    """Errors that show in the data alone, as outcomes: a model is modified if its text differs (h <> b, or c)."""
+    children = {f"{n}_child": f"SELECT o_orderkey FROM {{{{ ref('{n}') }}}}" for n, *_ in _BROKEN}
+    head = {n: _cast(h, ", 1 AS c" if c else "") for n, h, _, c in _BROKEN} | children
+    base = {n: _cast(b) for n, _, b, _ in _BROKEN} | children
+    out = compare.run(m.spark, _project(head), _project(base), _sources(m))
+    return m.spark.createDataFrame([(x.name, x.outcome) for x in out.models], "model string, outcome string")

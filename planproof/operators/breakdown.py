@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from planproof.operators.metrics import Definition, Program, config_metrics
+
 LEAST, MOST, DIMENSIONS, ROWS = 2, 12, 3, 3
 
 
@@ -21,33 +23,38 @@ def gate(df: DataFrame, dims: dict[str, str]) -> DataFrame:
     return distinct_counts(df, dims).where(F.col("n_distinct").between(LEAST, MOST)).orderBy("n_distinct", "dimension").limit(DIMENSIONS)
 
 
-def grouped(df: DataFrame, dims: dict[str, str], sql: str) -> DataFrame:
-    """dimension, value, metric for all dimensions in one GROUPING SETS pass. NULL is a value of its own."""
+def grouped(df: DataFrame, dims: dict[str, str], definitions: list[Definition]) -> DataFrame:
+    """metric, dimension, value, amount: all metrics for all dimensions in one GROUPING SETS pass. NULL is a value of its own."""
     names = list(dims)
     keys = [f"k{i}" for i in range(len(names))]
     source = df.select("*", *(F.expr(dims[n]).cast("string").alias(k) for n, k in zip(names, keys)))
-    sets = [[F.col(k)] for k in keys]
-    out = source.groupingSets(sets, *(F.col(k) for k in keys)).agg(F.expr(sql).cast("double").alias("metric"), *(F.grouping(k).alias(f"g{i}") for i, k in enumerate(keys)))
+    program = Program(definitions)
+    out = program.finished(source.groupingSets([[F.col(k)] for k in keys], *(F.col(k) for k in keys)).agg(*program.aggregates(), *(F.grouping(k).alias(f"g{i}") for i, k in enumerate(keys))))
     pick = lambda what: F.coalesce(*(F.when(F.col(f"g{i}") == 0, what(i)) for i in range(len(names))))
-    return out.select(pick(lambda i: F.lit(names[i])).alias("dimension"), pick(lambda i: F.col(keys[i])).alias("value"), "metric")
+    amounts = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(s).cast("double").alias("amount")) for n, s in program.results.items()))
+    return out.select(pick(lambda i: F.lit(names[i])).alias("dimension"), pick(lambda i: F.col(keys[i])).alias("value"), F.inline(amounts))
 
 
-def breakdown(head: DataFrame, base: DataFrame, dims: dict[str, str], sql: str) -> DataFrame:
-    """dimension, value, base, head, contribution. Values meet null-safely; a missing group counts as 0 in the
+def breakdowns(head: DataFrame, base: DataFrame, dims: dict[str, str], definitions: list[Definition]) -> DataFrame:
+    """metric, dimension, value, base, head, contribution. Values meet null-safely; a missing group counts as 0 in the
     contribution and stays NULL in its column."""
-    h, b = grouped(head, dims, sql), grouped(base, dims, sql)
-    on = (F.col("h.dimension") == F.col("b.dimension")) & F.col("h.value").eqNullSafe(F.col("b.value"))
+    h, b = grouped(head, dims, definitions), grouped(base, dims, definitions)
+    on = (F.col("h.metric") == F.col("b.metric")) & (F.col("h.dimension") == F.col("b.dimension")) & F.col("h.value").eqNullSafe(F.col("b.value"))
     met = h.alias("h").join(b.alias("b"), on, "full")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return met.select(
-        F.coalesce("h.dimension", "b.dimension").alias("dimension"), F.coalesce("h.value", "b.value").alias("value"),
-        F.col("b.metric").alias("base"), F.col("h.metric").alias("head"), F.abs(zero("h.metric") - zero("b.metric")).alias("contribution"),
-    )
+    either = lambda c: F.coalesce(f"h.{c}", f"b.{c}").alias(c)
+    gap = F.abs(zero("h.amount") - zero("b.amount")).alias("contribution")
+    return met.select(either("metric"), either("dimension"), either("value"), F.col("b.amount").alias("base"), F.col("h.amount").alias("head"), gap)
+
+
+def breakdown(head: DataFrame, base: DataFrame, dims: dict[str, str], sql: str) -> DataFrame:
+    """breakdowns() of one aggregate given as SQL."""
+    return breakdowns(head, base, dims, config_metrics([{"name": "metric", "model": "", "sql": sql}])).drop("metric")
 
 
 def top_contributors(parts: DataFrame, rows: int = ROWS) -> DataFrame:
-    """The biggest contributions of each dimension, then by value (NULL as 'None'); zero ones too."""
-    w = W.partitionBy("dimension").orderBy(F.desc("contribution"), F.coalesce("value", F.lit("None")))
+    """The biggest contributions of each dimension (of each metric), then by value (NULL as 'None'); zero ones too."""
+    w = W.partitionBy(*(c for c in ("metric", "dimension") if c in parts.columns)).orderBy(F.desc("contribution"), F.coalesce("value", F.lit("None")))
     return parts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= rows)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 FAILING = ("fail", "error")
 #: Parts of an error that differ between two runs of the same thing.
 _NOISE = (
-    (r"\b(base|head)(?=[._`\"])", "run"), (r"\b(base|head)_", "run_"), (r"`", ""), (r"\(line \d+, pos \d+\)", ""), (r"(?m)^\s*\^+\s*$", ""), (r"(?m)^== SQL.*$", ""), (r"\d+(\.\d+)? ?(ms|s|seconds)\b", ""), (r"#\d+L?", ""), (r"(/[\w.-]+)+/", ""), (r"\s+", " "),
+    (r"\b(base|head)(?=[._`\"])", "run"), (r"\b(base|head)_", "run_"), (r"`", ""), (r"\(line \d+, pos \d+\)", ""), (r"(?m)^\s*\^+\s*$", ""), (r"(?s)== SQL.*$", ""), (r"\d+(\.\d+)? ?(ms|s|seconds)\b", ""), (r"#\d+L?", ""), (r"(/[\w.-]+)+/", ""), (r"\s+", " "),
 )
 
 

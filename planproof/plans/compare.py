@@ -55,12 +55,12 @@ class ModelDiff:
         return self.base_exists and not self.columns.changed and self.rows_base == self.rows_head and not self.rows_differing and not any(m.moved for m in self.metrics)
 
 
-def compare_model(name: str, head: DataFrame, base: DataFrame | None, defs: list[metrics.Compiled], dims: dict[str, str] | None = None, texts: dict[str, str] | None = None) -> ModelDiff:
+def compare_model(name: str, head: DataFrame, base: DataFrame | None, defs: list[metrics.Definition], dims: dict[str, str] | None = None, texts: dict[str, str] | None = None) -> ModelDiff:
     """Jobs: one per side for metrics and row counts together, one for the rows; profiles, renames and breakdowns only
     where there is something to tell. Sides with the same plan are not run twice."""
     d = ModelDiff(name)
-    count = metrics.Compiled("__rows", name, "count(1)")
-    mine = [m for m in defs if m.relation == name and not m.inputs]
+    count = metrics.Definition("__rows", metrics.Leaf(name, "count", "*"))
+    mine = [m for m in defs if m.relation == name and not m.spans]
     now, bad = metrics.evaluate(head, [count, *mine])
     d.rows_head = now.pop("__rows")
     if base is None:
@@ -85,21 +85,25 @@ def compare_model(name: str, head: DataFrame, base: DataFrame | None, defs: list
         d.metrics.append(x)
     moved = [m for m in mine if any(x.name == m.name and x.moved for x in d.metrics)]
     if moved and dims:
-        usable = {n: e for n, e in dims.items() if not metrics.analysed(head, f"max({e})") and not metrics.analysed(base, f"max({e})")}
+        resolves = lambda df, e: not metrics.unresolved(df, metrics.config_metrics([{"name": "d", "model": name, "sql": f"max({e})"}])[0])
+        usable = {n: e for n, e in dims.items() if resolves(head, e) and resolves(base, e)}
         kept = [r["dimension"] for r in bd.gate(head, usable).collect()] if usable else []
-        for m in moved if kept else []:
-            rows = bd.top_contributors(bd.breakdown(head, base, {n: usable[n] for n in kept}, m.sql)).orderBy("dimension", "place").collect()
-            target = next(x for x in d.metrics if x.name == m.name)
-            target.breakdown = {n: [(r["value"], r["base"], r["head"]) for r in rows if r["dimension"] == n] for n in kept}
+        if kept:
+            # One pass a side for all metrics that moved; what comes back is ROWS values a dimension and metric.
+            rows = bd.top_contributors(bd.breakdowns(head, base, {n: usable[n] for n in kept}, moved)).orderBy("metric", "dimension", "place").collect()
+            for x in d.metrics:
+                mine = [r for r in rows if r["metric"] == x.name]
+                if mine:
+                    x.breakdown = {n: [(r["value"], r["base"], r["head"]) for r in mine if r["dimension"] == n] for n in kept}
     return d
 
 
-def spanning(defs: list[metrics.Compiled], head: dict[str, DataFrame], base: dict[str, DataFrame], compared: set[str]) -> list[MetricDiff]:
+def spanning(defs: list[metrics.Definition], head: dict[str, DataFrame], base: dict[str, DataFrame], compared: set[str]) -> list[MetricDiff]:
     """Metrics over several relations of which one was compared. A relation that is not on base counts as no value."""
     out = []
     for m in defs:
-        over = {r for r, _ in m.inputs.values()}
-        if not m.inputs or not over & compared:
+        over = set(m.relations)
+        if not m.spans or not over & compared:
             continue
         x = MetricDiff(m.name, m.label or m.name, spans=sorted(over))
         try:
@@ -175,11 +179,11 @@ def convention_rows(spark: SparkSession, p: Project, names: list[str], frames: d
     kind = lambda m, k: sum(x.startswith(k) for x in up.get(m.uid, ()))
     nodes = spark.createDataFrame([(m.name, m.layer, kind(m, "source."), kind(m, "model."), bool(m.description)) for m in models], "model string, layer string, sources int, refs int, described boolean")
     tests = spark.createDataFrame([(t.node.removeprefix("model."), t.column, t.kind) for t in p.tests if t.node.startswith("model.")], "model string, column string, test string")
-    cols = spark.createDataFrame([(m.name, n, t) for m in models if m.uid in frames for n, t in diff.columns_of(frames[m.uid]).items()], "model string, column_name string, type string")
+    cols = spark.createDataFrame([(m.name, m.layer, n, t) for m in models if m.uid in frames for n, t in diff.columns_of(frames[m.uid]).items()], "model string, layer string, column_name string, type string")
     on = lambda r: c.severity(r) != cv.OFF
     parts = []
     if on("naming"):
-        parts.append(cv.naming(nodes, c.layers, c.severity("naming")))
+        parts.append(cv.naming(nodes, c.layers, c.severity("naming"), c.hints))
     if on("layering"):
         parts.append(cv.layering(nodes, c.source_layer, c.severity("layering")))
     if on("description"):
@@ -187,7 +191,7 @@ def convention_rows(spark: SparkSession, p: Project, names: list[str], frames: d
     if on("primary_key"):
         parts.append(cv.primary_key(nodes, tests, c.severity("primary_key")))
     if on("column_naming"):
-        parts.append(cv.column_naming(cols, c.severity("column_naming")).drop("column_name"))
+        parts.append(cv.column_naming(cols, c.severity("column_naming"), c.layers).drop("column_name"))
     out = []
     for x in parts:
         out += [r.asDict() for r in x.orderBy("model", "message").collect()]
@@ -264,16 +268,19 @@ def run(spark: SparkSession, head: Project, base: Project | None, sources: dict[
     built = {u for u, x in reports.items() if x.outcome == "success"}
     if b:
         defs = metrics.first_of_each([m for m in head.compiled_metrics() if m.source == "semantic"], [m for m in head.compiled_metrics() if m.source == "bi"], metrics.config_metrics(config.metrics))
-        for m in defs:
-            if m.sql and config.dialect:
-                m.sql = rewritten(m.sql, config.dialect)
+        if config.dialect:
+            defs = [m.translated(lambda sql: rewritten(sql, config.dialect)) for m in defs]
         snapshots = {f"snapshot.{s}" for s in head.snapshots}
         for uid in g.comparable(touched, built, snapshots):
             name = uid.removeprefix("model.")
             texts = {f"model {n}": m.sql for n, m in head.models.items() if n != name} | {f"metadata of {n}": str((m.columns, m.meta)) for n, m in head.models.items()} | {f"semantic model {s.name}": str(s) for s in head.semantic_models} | {f"test {t.uid}": f"{t.column} {t.sql}" for t in head.tests}
             sm = next((s for s in head.semantic_models if s.relation == name), None)
             dims = {d: sm.dimensions[d] for d in sm.categorical} if sm else bi_dimensions(head, name)
-            reports[uid].diff = compare_model(name, h.frames[uid], b.frames.get(uid), defs, dims, texts)
+            try:
+                reports[uid].diff = compare_model(name, h.frames[uid], b.frames.get(uid), defs, dims, texts)
+            except Exception as e:  # what can be computed on either side can still not be comparable
+                reports[uid].message = f"not compared: {metrics.reason(e)}"
+                report.warnings.append(f"{name}: {reports[uid].message}")
         short = lambda f: {u.removeprefix("model."): d for u, d in f.items() if u.startswith("model.")}
         report.spanning = spanning(defs, short(h.frames), short(b.frames), {x.name for x in reports.values() if x.diff})
     report.models = sorted(reports.values(), key=lambda x: x.name)

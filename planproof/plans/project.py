@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from planproof.operators import quality
 from planproof.operators.judge import Result, not_verified
-from planproof.operators.metrics import BiCompiler, Compiled, Measure, Metric, SemanticCompiler, SemanticModel
+from planproof.operators.metrics import BiReader, Definition, Measure, Metric, SemanticModel, SemanticReader
 from planproof.plans import template
 from planproof.plans.dialect import fitted, without_layout
 from planproof.plans.graph import Graph
@@ -142,11 +142,11 @@ class Project:
             g.parents.setdefault(m.uid, [])
         return g
 
-    def compiled_metrics(self) -> list[Compiled]:
-        out = SemanticCompiler(self.semantic_models, self.metrics).all()
+    def compiled_metrics(self) -> list[Definition]:
+        out = SemanticReader(self.semantic_models, self.metrics).all()
         for m in self.models.values():
             columns = {c: (d.get("meta") or {}).get("metrics") or {} for c, d in m.columns.items()}
-            out += BiCompiler(m.name, columns, m.meta.get("metrics")).all()
+            out += BiReader(m.name, columns, m.meta.get("metrics")).all()
         return out
 
     def digest(self, m: Model) -> str:
@@ -186,6 +186,11 @@ def load(root: str, variables: dict | None = None) -> Project:
         _yaml(p, yaml.safe_load(f.read_text()) or {})
     for f in sorted(top.glob("tests/**/*.sql")):
         p.tests.append(Test("singular", "", sql=f.read_text(), name=f.stem))
+    return linked(p)
+
+
+def linked(p: Project) -> Project:
+    """p with what reads what."""
     for m in p.models.values():
         try:
             _, found = p.rendered(m.sql, m)
@@ -265,17 +270,21 @@ def _metric(m: dict) -> Metric:
 
 def failed(name: str, e: Exception) -> Result:
     condition = e.getCondition() if isinstance(e, PySparkException) else None
+    if condition is None and (named := re.search(r"\[([A-Z][A-Z_.]{4,})\]", str(e))):
+        condition = named[1]  # an error of a task comes as text
     return Result(name, "error", None, str(e).split("\n\nJVM")[0], condition)
 
 
 class Branch:
-    """One version of a project on the given sources. Views are temporary views of the branch's own names; a table is
-    computed once and kept, as it has several readers."""
+    """One version of a project on the given sources. Models are temporary views of the branch's own names over rows that
+    are computed once and kept (in memory, then on disk) until the branch is closed, as tests, children and the
+    comparison read them."""
 
     def __init__(self, spark: SparkSession, name: str, project: Project, sources: dict[str, DataFrame], dialect: str | None = None):
         self.spark, self.name, self.project, self.dialect = spark, name, project, dialect
         self.frames: dict[str, DataFrame] = dict(sources)
         self.results: dict[str, Result] = {}
+        self.rows: dict[str, int] = {}
         for s, path in project.seeds.items():
             self.frames[f"seed.{s}"] = read_seed(spark, path)
         for uid, df in self.frames.items():
@@ -301,15 +310,19 @@ class Branch:
         return self.results
 
     def _model(self, m: Model) -> Result:
+        """Builds the model: its plan is analysed and its rows are computed, once, and kept for all that reads them; an error
+        that shows only in the data is the model's result like any other."""
+        df = None
         try:
             sql, _ = self.project.rendered(m.sql, m, self.relation)
-            df = self.spark.sql(fitted(self.spark, sql, self.dialect))
-            if m.materialized == "table":
-                df = df.persist()
+            df = self.spark.sql(fitted(self.spark, sql, self.dialect)).persist()
+            self.rows[m.uid] = df.count()
             self.frames[m.uid] = df
             df.createOrReplaceTempView(self.view(m.uid))
             return Result(m.uid, "success")
         except Exception as e:
+            if df is not None:
+                df.unpersist()
             return failed(m.uid, e)
 
     def test(self, t: Test) -> Result:

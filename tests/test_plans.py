@@ -1,13 +1,14 @@
 import json
 import subprocess
 import textwrap
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
 
 from planproof import cli
 from planproof import report as rp
-from planproof.operators import conventions, judge, quality
+from planproof.operators import conventions, judge, metrics, quality
 from planproof.operators.judge import Result
 from planproof.plans import compare, dialect, generate, graph, infer, jsonshape, lineage, project, schema, template
 from planproof.sources import dbml, files, sinks
@@ -101,6 +102,23 @@ def test_dialects(spark, dia, sql, value):
     assert spark.sql(dialect.rewritten(sql, dia)).first()["v"] == value
 
 
+@pytest.mark.parametrize("dia,sql,value", [
+    ("bigquery", "select safe_divide(6, 2) as v, 'safe_divide(a, b)' as t", 3.0), ("duckdb", "select 'safe_divide(a, \"b\") -- x' as v -- iff(1, 2, 3)", 'safe_divide(a, "b") -- x'),
+    ("snowflake", 'select "v" from (select iff(true, \'a, (b\', \'c\') as "v") /* "x" */', "a, (b"), ("bigquery", "select concat('p', \" \", \"q\") as v", "p q"),
+    ("bigquery", "select cast('12.345678901' as numeric) as v", Decimal("12.345678901")), ("postgres", "select '1.25'::numeric(10, 2) as v", Decimal("1.25")), ("snowflake", "select cast('7' as number) as v", Decimal(7)),
+    ("duckdb", "select strftime(timestamp '2026-03-04 05:06:07', '%Y-%m-%dT%H:%M:%S') as v", "2026-03-04T05:06:07"), ("bigquery", "select format_date('%d %B', date '2026-03-04') as v", "04 March"),
+    ("bigquery", "select (select max(text) from (select 'x' as text)) as v", "x"), ("bigquery", "select safe_cast('x' as int64) is null as v", True), ("duckdb", "select ifnull(null, iff(1 > 2, 'a', nvl2('k', 'it''s', 'c'))) as v", "it's"),
+    ("bigquery", "select timestamp_diff(timestamp '2026-01-02 12:00:00', timestamp '2026-01-01 00:00:00', hour) / 24.0 as v", 1.5),
+])
+def test_rewrites_leave_texts_and_comments_alone(spark, dia, sql, value):
+    assert spark.sql(dialect.rewritten(sql, dia)).first()["v"] == value
+
+
+def test_what_has_no_counterpart_stays():
+    assert dialect.rewritten("select strftime(a, '%U') from t where x = \"y\"", "duckdb") == "select strftime(a, '%U') from t where x = `y`"
+    assert dialect.rewritten("select iff(a, b", "snowflake") == "select iff(a, b"
+
+
 def test_layout_is_dropped():
     assert dialect.without_layout({"partition_by": 1, "materialized": "table", "cluster_by": 2}) == {"materialized": "table"}
 
@@ -115,6 +133,11 @@ def test_config(tmp_path):
     c = files.load_config(str(p))
     assert c.rows == 10 and c.conventions.severity("naming") == "warn" and c.conventions.severity("layering") == "off"
     assert files.load_config(None).conventions.severity("naming") == "warn" and conventions.from_config({}).severity("naming") == "error"
+    own = conventions.from_config({"preset": "team", "presets": {"team": {"rules": {"naming": True, "layering": False}, "layers": {"raw": "raw_"}, "source_layer": None}}, "rules": {"description": "OFF"}})
+    assert (own.severity("naming"), own.severity("layering"), own.severity("description"), own.severity("primary_key")) == ("error", "off", "off", "error") and own.layers == {"raw": "raw_"} and own.hints == {} and own.source_layer is None
+    for bad in ([], {"x": 1}, {"preset": "nope"}, {"rules": {"naming": "loud"}}, {"rules": []}, {"layers": {"a": "("}}, {"layers": "a"}, {"source_layer": 3}, {"presets": {"a": {"b": 1}}}, {"presets": {"a": 1}, "preset": "a"}):
+        with pytest.raises(conventions.ConventionError):
+            conventions.from_config(bad)
 
 
 def test_comments_upsert():
@@ -341,4 +364,30 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps(raw))
     p = manifest.load(str(tmp_path / "m.json"))
     assert p.models["stg"].layer == "staging" and p.models["stg"].materialized == "table" and p.edges == [("source.shop.orders", "model.stg")] and p.test_reads["u"] == {"model.stg"}
-    assert p.compiled_metrics()[0].sql == "count(id) filter (where cast((x > 1) as boolean))" and manifest.edges(spark, p).count() == 1
+    assert p.compiled_metrics()[0].root == metrics.Leaf("stg", "count", "id", ("x > 1",)) and manifest.edges(spark, p).count() == 1
+
+
+# ------------------------------------------------------------------ failures that show in the data alone
+
+
+def small(**models):
+    p = project.Project("")
+    p.sources["raw", "t"] = project.Source("raw", "t", "t")
+    for name, sql in models.items():
+        p.models[name] = project.Model(name, sql)
+    return project.linked(p)
+
+
+def test_run_time_failures_are_results(spark):
+    t = spark.createDataFrame([(1, "1"), (2, "x")], "k int, s string")
+    read = "select k{more}, {s} as s from {{{{ source('raw', 't') }}}}"
+    bad, good = "cast(s as int)", "try_cast(s as int)"
+    model = lambda s, more="": read.format(s=s, more=more)
+    head = small(on_head=model(bad), on_base=model(good), on_both=model(bad, ", 1 as n"), fine=model(good, ", 1 as n"), child="select k from {{ ref('on_head') }}", far="select k from {{ ref('child') }}")
+    base = small(on_head=model(good), on_base=model(bad), on_both=model(bad), fine=model(good), child="select k from {{ ref('on_head') }}", far="select k from {{ ref('child') }}")
+    out = compare.run(spark, head, base, {"source.raw.t": t})
+    got = {m.name: m for m in out.models}
+    assert {n: m.outcome for n, m in got.items()} == {"on_head": "failed", "on_base": "success", "on_both": "unverified_broken_on_base", "fine": "success", "child": "skipped", "far": "skipped"}
+    assert "CAST_INVALID_INPUT" in got["on_head"].message and got["fine"].diff.rows_head == 2 and not got["on_base"].diff.base_exists and out.verdict == "failed"
+    alone = compare.run(spark, small(on_both=model(bad), other=model(good)), small(on_both=model(bad), other=model("k")), {"source.raw.t": t})
+    assert [m.outcome for m in alone.models] == ["success"] and alone.passed
