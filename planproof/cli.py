@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from contextlib import nullcontext
 from pathlib import Path
@@ -16,40 +17,48 @@ from planproof.sources import dbml, files, sinks
 
 
 def made_sources(spark, head, config, base=None):
-    """Sources for both branches, generated from the resolved schema: frames by uid, what is guessed, what differs, warnings."""
+    """Sources for both branches, generated from the resolved schema: frames by uid, those that are others on base, what is
+    guessed, what differs, warnings, rows."""
     mine = schema.resolve(spark, head)
     if config.schema_file:
         mine.schema = dbml.parse(Path(config.schema_file).read_text())
     reshaped: set[str] = set()
+    added: dict[tuple[str, str], set[str]] = {}
     by_uid = {s.uid: mine.names[s.uid] for s in head.sources.values()}
     if base is not None:
         theirs = schema.resolve(spark, base)
         odd = schema.reshaped(mine.schema, theirs.schema)
         reshaped = {u for u, t in by_uid.items() if t in odd}
         for (u, c), shape in theirs.shapes.items():
+            added[mine.names.get(u, ""), c] = {p for p in mine.shapes.get((u, c), {}) if p and p not in shape}
             mine.shapes[u, c] = {**shape, **mine.shapes.get((u, c), {})}
     shapes = {(mine.names[u], c): s for (u, c), s in mine.shapes.items()}
     specs = schema.generator(mine.schema, shapes, {by_uid[s.uid]: s.loader for s in head.sources.values() if s.loader})
     tables = generate.tables(spark, specs, config.rows_for, config.seed, config.rows)
     frames = {u: tables[t] for u, t in by_uid.items() if t in tables}
+    older = generate.as_on_base(specs, added)
+    sizes = {t: config.rows_for.get(t, config.rows) for t in tables}
+    on_base = {u: generate.one_table(spark, t, older[t], sizes[t], sizes, config.seed) for u, t in by_uid.items() if t in older}
     for s in head.sources.values():
         if s.uid not in frames:
             frames[s.uid] = generate.empty_stand_in(spark, s.columns or {"id": None})
     warnings = generate.warnings(specs) + [f"{u}: no columns are known" for u in mine.without] + mine.conflicts
-    sizes = {t: config.rows_for.get(t, config.rows) for t in tables}
-    return frames, mine.guessed, reshaped, warnings, sizes
+    return frames, on_base, mine.guessed, reshaped, warnings, sizes
 
 
 def verify(spark, args) -> Report:
     config = files.load_config(args.config)
     root = Path(args.repo_root) / config.project_dir
+    if lacking := sorted(n for n in files.env_names(str(root)) if n not in os.environ):
+        raise files.ConfigError(f"the project reads environment variables that are not set: {', '.join(lacking)}")
     head = load(str(root), config.vars)
+    config.dialect = config.dialect or files.profile_dialect(str(root), head.profile)
     with files.worktree(args.repo_root, args.base_ref) if args.base_ref else nullcontext() as tree:
         base = load(str(Path(tree) / config.project_dir), config.vars) if tree else None
         with sinks.timed("sources", args.quiet):
-            frames, guessed, reshaped, warnings, sizes = made_sources(spark, head, config, base)
+            frames, on_base, guessed, reshaped, warnings, sizes = made_sources(spark, head, config, base)
         with sinks.timed("branches", args.quiet):
-            out = run(spark, head, base, frames, config, guessed, reshaped)
+            out = run(spark, head, base, frames, config, guessed, reshaped, on_base)
     out.warnings, out.tables = warnings, sizes
     return out
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +51,7 @@ class Result:
     failures: int | None = None
     message: str = ""
     condition: str | None = None
+    parameters: dict = field(default_factory=dict)
 
 
 def same_error(a: Result, b: Result) -> bool:

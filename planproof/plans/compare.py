@@ -138,6 +138,9 @@ class ModelReport:
     tests: list[FailedTest] = field(default_factory=list)
     warnings: list[FailedTest] = field(default_factory=list)
     diff: ModelDiff | None = None
+    layer: str = ""
+    condition: str | None = None
+    parameters: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -150,6 +153,8 @@ class Report:
     tables: dict[str, int] = field(default_factory=dict)
     fatal: str = ""
     dialect_errors: bool = False
+    compared: bool = False
+    metrics_defined: int = 0
 
     @property
     def failing(self) -> int:
@@ -198,10 +203,11 @@ def convention_rows(spark: SparkSession, p: Project, names: list[str], frames: d
     return out
 
 
-def run(spark: SparkSession, head: Project, base: Project | None, sources: dict[str, DataFrame], config: Config | None = None, guessed: dict[str, set[str]] | None = None, reshaped: set[str] = frozenset()) -> Report:
-    """sources: by uid, the same for both branches. Without a base everything is changed and nothing is compared."""
+def run(spark: SparkSession, head: Project, base: Project | None, sources: dict[str, DataFrame], config: Config | None = None, guessed: dict[str, set[str]] | None = None, reshaped: set[str] = frozenset(), on_base: dict[str, DataFrame] | None = None) -> Report:
+    """sources: by uid, the same for both branches but for those in on_base. Without a base everything is changed and nothing is compared."""
     config = config or Config()
-    report = Report(dialect_errors=config.dialect_errors)
+    report = Report(dialect_errors=config.dialect_errors, compared=base is not None)
+    report.metrics_defined = len(head.compiled_metrics()) + len(config.metrics)
     g = head.graph()
     changed = modified(head, base) if base else {m.uid for m in head.models.values()}
     edited = {c.removeprefix("test.") for c in changed if c.startswith("test.")}
@@ -217,7 +223,7 @@ def run(spark: SparkSession, head: Project, base: Project | None, sources: dict[
     selection = g.affected(touched, models_of_test)
     reach = set(g.depths(touched))
     h = Branch(spark, "head", head, sources, config.dialect)
-    b = Branch(spark, "base", base, sources, config.dialect) if base else None
+    b = Branch(spark, "base", base, {**sources, **(on_base or {})}, config.dialect) if base else None
     h.build(selection)
     base_results: dict[str, Result] = {}
     if b:
@@ -283,6 +289,10 @@ def run(spark: SparkSession, head: Project, base: Project | None, sources: dict[
                 report.warnings.append(f"{name}: {reports[uid].message}")
         short = lambda f: {u.removeprefix("model."): d for u, d in f.items() if u.startswith("model.")}
         report.spanning = spanning(defs, short(h.frames), short(b.frames), {x.name for x in reports.values() if x.diff})
+    for uid, x in reports.items():
+        x.layer = head.models[x.name].layer
+        if x.message and uid in h.results:
+            x.condition, x.parameters = h.results[uid].condition, h.results[uid].parameters
     report.models = sorted(reports.values(), key=lambda x: x.name)
     report.violations = convention_rows(spark, head, [n for n in report.changed if n in head.models], h.frames, config.conventions)
     h.close()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ class Spec:
     skew: float = 0.0
     after: str | None = None
     json: dict | None = None
+    absent: frozenset[str] = frozenset()  # paths of json that are JSON null
 
 
 @dataclass
@@ -66,7 +68,7 @@ def column(table: str, name: str, s: Spec, seed: int, sizes: dict[str, int]) ->
         n = sizes[s.refers]
         out = F.floor(F.pow(u, F.lit(1 + 3 * s.skew)) * n).cast("long") + 1
     elif s.json is not None:
-        out = json_column(table, name, s.json, seed)
+        out = json_column(table, name, s.json, seed, s.absent)
     elif s.values:
         total, upto, out = float(sum(s.weights or [1] * len(s.values))), 0.0, F.lit(s.values[-1])
         marks = []
@@ -104,6 +106,22 @@ def column(table: str, name: str, s: Spec, seed: int, sizes: dict[str, int]) ->
 
 
 def one_table(spark: SparkSession, name: str, spec: TableSpec, n: int, sizes: dict[str, int], seed: int) -> DataFrame:
+    """n rows. Where keys must be unique together, more rows are tried for those that repeat one, twice as many each time, until
+    there are n or the keys are used up."""
+    tried, df = n, _rows(spark, name, spec, n, sizes, seed)
+    if spec.unique_together:
+        while tried < n << TRIES and df.count() < n:
+            tried *= 2
+            df = _rows(spark, name, spec, tried, sizes, seed)
+        df = df.orderBy("_row").limit(n)
+    return df.drop("_row")
+
+
+#: Doublings of the rows that are tried for a table whose keys must be unique together.
+TRIES = 5
+
+
+def _rows(spark: SparkSession, name: str, spec: TableSpec, n: int, sizes: dict[str, int], seed: int) -> DataFrame:
     df = spark.range(n).withColumnRenamed("id", "_row")
     first = [c for c, s in spec.columns.items() if not s.after]
     df = df.select("_row", *(column(name, c, spec.columns[c], seed, sizes).alias(c) for c in first))
@@ -118,8 +136,10 @@ def one_table(spark: SparkSession, name: str, spec: TableSpec, n: int, sizes: di
         value = {"load": F.lit(f"load_{seed}"), "row": F.substring(F.sha2(F.concat_ws(":", F.lit(f"{seed}:{name}"), F.col("_row").cast("string")), 256), 1, 14), "time": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")}[kind]
         df = df.withColumn(c, value)
     for key in spec.unique_together:
-        df = df.dropDuplicates(list(key))
-    return df.select(*spec.columns, *LOADER_COLUMNS.get(spec.loader or "", {}))
+        # of rows with the same key the first one stays, whatever the partitions
+        first = df.groupBy(*key).agg(F.min("_row").alias("_first")).select("_first")
+        df = df.join(first, df._row == first._first, "left_semi")
+    return df.select("_row", *spec.columns, *LOADER_COLUMNS.get(spec.loader or "", {}))
 
 
 def tables(spark: SparkSession, specs: dict[str, TableSpec], rows: dict[str, int] | None = None, seed: int = SEED, default: int = ROWS) -> dict[str, DataFrame]:
@@ -166,36 +186,36 @@ def _leaf(kind: str, seed: int, table: str, col: str, path: str) -> Column:
     return F.concat(F.lit(f"{name}_"), row.cast("string"), F.lit("_"), F.lpad(F.hex(h % 65536), 4, "0"))
 
 
-def _json(tree, seed: int, table: str, col: str, path: str) -> Column:
+def _json(tree, seed: int, table: str, col: str, path: str, absent: frozenset[str] = frozenset()) -> Column:
+    if re.sub(r"\[\d+\]", "[]", path).lstrip(".") in absent:
+        return F.lit(None).cast("string")
     if not isinstance(tree, dict):
         return _leaf(tree, seed, table, col, path)
     if set(tree) == {"[]"}:
         n = (F.pmod(_hash(seed, table, col, path, F.col("_row")), F.lit(3)) + 1).cast("int")
-        return F.slice(F.array(*(_json(tree["[]"], seed, table, col, f"{path}[{i}]") for i in range(3))), F.lit(1), n)
-    return F.struct(*(_json(v, seed, table, col, f"{path}.{k}").alias(k) for k, v in sorted(tree.items()) if k != "[]"))
+        return F.slice(F.array(*(_json(tree["[]"], seed, table, col, f"{path}[{i}]", absent) for i in range(3))), F.lit(1), n)
+    return F.struct(*(_json(v, seed, table, col, f"{path}.{k}", absent).alias(k) for k, v in sorted(tree.items()) if k != "[]"))
 
 
-def json_column(table: str, col: str, shape: dict, seed: int = SEED) -> Column:
-    """Compact JSON text with every path present; a path's value depends on itself alone, so new paths change no other.
-    Only the whole value read: {"id": row}."""
+def json_column(table: str, col: str, shape: dict, seed: int = SEED, absent: frozenset[str] = frozenset()) -> Column:
+    """Compact JSON text with every path present, those in absent as JSON null; a path's value depends on itself alone, so
+    new paths change no other. Only the whole value read: {"id": row}."""
     tree = nested(shape)
-    return F.to_json(_json(tree, seed, table, col, "") if tree else F.struct(F.col("_row").alias("id")))
+    value = _json(tree, seed, table, col, "", absent) if tree else F.struct(F.col("_row").alias("id"))
+    return F.to_json(value, {"ignoreNullFields": "false"}) if absent else F.to_json(value)
 
 
 def json_rows(spark: SparkSession, table: str, col: str, shape: dict, n: int, seed: int = SEED) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", "_row").select("_row", json_column(table, col, shape, seed).alias(col))
 
 
-def widened(table: str, col: str, base: dict, head: dict, seed: int = SEED) -> Column:
-    """Values with the paths of both branches; those of head alone are JSON null, as base never wrote them."""
-    both = {**base, **{p: t for p, t in head.items() if p not in base}}
-    value = json_column(table, col, both, seed)
-    new = [p for p in head if p not in base and "[]" not in p and "." not in p]
-    tree = nested(both)
-    if not new:
-        return value
-    parts = [(F.lit(None).cast("string") if k in new else _json(v, seed, table, col, f".{k}")).alias(k) for k, v in sorted(tree.items())]
-    return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
+def as_on_base(specs: dict[str, TableSpec], added: dict[tuple[str, str], set[str]]) -> dict[str, TableSpec]:
+    """The tables whose JSON columns have paths that only head reads, with those as JSON null: base never wrote them."""
+    out = {}
+    for t in {t for (t, _), paths in added.items() if paths and t in specs}:
+        columns = {c: replace(s, absent=frozenset(added.get((t, c), ()))) for c, s in specs[t].columns.items()}
+        out[t] = replace(specs[t], columns=columns)
+    return out
 
 
 # ------------------------------------------------------------------ stand-ins and updates

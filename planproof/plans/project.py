@@ -90,6 +90,7 @@ class Project:
     semantic_models: list[SemanticModel] = field(default_factory=list)
     metrics: list[Metric] = field(default_factory=list)
     vars: dict[str, object] = field(default_factory=dict)
+    profile: str = ""
     edges: list[tuple[str, str]] = field(default_factory=list)
     test_reads: dict[str, set[str]] = field(default_factory=dict)
 
@@ -171,6 +172,7 @@ def load(root: str, variables: dict | None = None) -> Project:
     top = Path(root)
     settings = yaml.safe_load((top / "dbt_project.yml").read_text()) if (top / "dbt_project.yml").exists() else {}
     p.vars = {**(settings.get("vars") or {}), **(variables or {})}
+    p.profile = str(settings.get("profile") or settings.get("name") or "")
     p.macros = "\n".join(f.read_text() for f in sorted(top.glob("macros/**/*.sql")))
     for f in sorted(top.glob("seeds/**/*.csv")):
         p.seeds[f.stem] = str(f)
@@ -272,7 +274,8 @@ def failed(name: str, e: Exception) -> Result:
     condition = e.getCondition() if isinstance(e, PySparkException) else None
     if condition is None and (named := re.search(r"\[([A-Z][A-Z_.]{4,})\]", str(e))):
         condition = named[1]  # an error of a task comes as text
-    return Result(name, "error", None, str(e).split("\n\nJVM")[0], condition)
+    said = (e.getMessageParameters() or {}) if isinstance(e, PySparkException) else {}
+    return Result(name, "error", None, str(e).split("\n\nJVM")[0], condition, dict(said))
 
 
 class Branch:

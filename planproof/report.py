@@ -111,6 +111,37 @@ def headline(r: Report) -> str:
     return ", ".join(parts) or f"{plural(len(r.models), 'model')} built"
 
 
+#: The folder whose models the headline counts as marts.
+MARTS = "marts"
+
+
+def headline_data(r: Report) -> dict | None:
+    """The headline as counts with its text; None if nothing can be said. Without a base nothing is compared, so what a
+    comparison would tell is None."""
+    if r.fatal or not r.changed:
+        return None
+    failing = sum(m.outcome == "failed" for m in r.models) + sum(not t.preexisting for m in r.models for t in m.tests)
+    of = lambda *names: sum(m.outcome in names for m in r.models)
+    top = top_mover(r)
+    told = {
+        "moved_metrics": sum(x.moved for m in r.models if m.diff for x in m.diff.metrics),
+        "top_metric": {k: getattr(top[1], k) for k in ("name", "label", "base", "head")} if top else None,
+        "value_changed_models": sum(bool(m.diff and m.diff.base_exists and (m.diff.rows_differing or m.diff.rows_base != m.diff.rows_head)) for m in r.models),
+        "touched_models": len(r.models),
+        "touched_marts": sum(m.layer == MARTS for m in r.models),
+    }
+    return {
+        "text": headline(r),
+        "new_failures": failing + sum(v["severity"] == "error" for v in r.violations),
+        "metrics_defined": r.metrics_defined,
+        "unverified": of("unverified_broken_on_base", "not_verified"),
+        "broken_on_base": of("broken_on_base"),
+        "fixture_limited": of("fixture_limited"),
+        "not_built": 0 if failing else of("skipped", "skipped_unchecked"),
+        **(told if r.compared else dict.fromkeys(told)),
+    }
+
+
 def _diff_lines(d: ModelDiff) -> list[str]:
     if not d.base_exists:
         return [f"- new model: {plural(d.rows_head or 0, 'row')}, {plural(len(d.columns.added), 'column')}"]
@@ -149,6 +180,8 @@ def markdown(r: Report) -> str:
         lines = []
         if m.outcome != "success":
             lines += [f"- {m.outcome.replace('_', ' ')}" + (": " + m.message.split("\n")[0] if m.message else "")]
+            if plain := reading(m.condition, m.parameters):
+                lines.append(f"  {plain}")
         for t in m.tests:
             text = f"test `{t.name}`: " + (f"{plural(t.failures, 'failing row')}" if t.failures else t.status) + (f" ({t.base_failures} on base)" if t.base_failures else "") + (", as on base" if t.preexisting else "")
             shown += not t.preexisting
@@ -197,7 +230,7 @@ def summary(r: Report) -> dict:
         }
 
     return {
-        "schema_version": SCHEMA_VERSION, "verdict": r.verdict, "headline": headline(r), "passed": r.passed, "changed": r.changed, "counts": counts(r), "violations": r.violations, "fatal": r.fatal or None, "tables": r.tables, "warnings": r.warnings,
+        "schema_version": SCHEMA_VERSION, "verdict": r.verdict, "headline": headline_data(r), "passed": r.passed, "changed": r.changed, "counts": counts(r), "violations": r.violations, "fatal": r.fatal or None, "tables": r.tables, "warnings": r.warnings,
         "models": [{"name": m.name, "outcome": m.outcome, "fails": m.fails, "message": m.message, "tests_passed": m.tests_passed, "tests": [vars(t) for t in m.tests], "warnings": [vars(t) for t in m.warnings], "diff": facets(m.diff) if m.diff else None} for m in r.models],
         "spanning": [metric(x) for x in r.spanning],
     }

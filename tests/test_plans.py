@@ -250,7 +250,7 @@ def write(root: Path, changes=None):
 def verified(spark, tmp_path, changes, config=None):
     base, head = write(tmp_path / "base"), write(tmp_path / "head", changes)
     config = config or files.Config(rows_for={"customers": 30, "orders": 200})
-    frames, guessed, reshaped, warnings, sizes = cli.made_sources(spark, head, config, base)
+    frames, on_base, guessed, reshaped, warnings, sizes = cli.made_sources(spark, head, config, base)
     return compare.run(spark, head, base, frames, config, guessed, reshaped)
 
 
@@ -391,3 +391,38 @@ def test_run_time_failures_are_results(spark):
     assert "CAST_INVALID_INPUT" in got["on_head"].message and got["fine"].diff.rows_head == 2 and not got["on_base"].diff.base_exists and out.verdict == "failed"
     alone = compare.run(spark, small(on_both=model(bad), other=model(good)), small(on_both=model(bad), other=model("k")), {"source.raw.t": t})
     assert [m.outcome for m in alone.models] == ["success"] and alone.passed
+
+
+def test_paths_that_base_never_wrote_are_null_there(spark):
+    shape = {"id": "integer", "at.day": "date", "items[].sku": "string", "items[].n": "integer"}
+    spec = {"parcels": generate.TableSpec({"id": generate.Spec("int", unique=True), "payload": generate.Spec("json", json=shape)})}
+    old = generate.as_on_base(spec, {("parcels", "payload"): {"at.day", "items[].n"}, ("x", "y"): {"z"}})
+    make = lambda specs: [json.loads(r["payload"]) for r in generate.one_table(spark, "parcels", specs["parcels"], 20, {"parcels": 20}, 1).orderBy("id").collect()]
+    for new, was in zip(make(spec), make(old)):
+        assert was["at"] == {"day": None} and new["at"]["day"] and was["id"] == new["id"] and [x["sku"] for x in was["items"]] == [x["sku"] for x in new["items"]] and {x["n"] for x in was["items"]} == {None}
+    assert generate.as_on_base(spec, {("parcels", "payload"): set()}) == {}
+
+
+def test_composite_keys_are_filled_up(spark):
+    spec = generate.TableSpec({"a": generate.Spec(values=[str(i) for i in range(8)]), "b": generate.Spec(values=[str(i) for i in range(9)])}, [("a", "b")])
+    rows = [tuple(r) for r in generate.one_table(spark, "t", spec, 50, {}, 3).collect()]
+    assert len(rows) == len(set(rows)) == 50
+    few = generate.TableSpec({"a": generate.Spec(values=["x", "y"])}, [("a",)])
+    assert generate.one_table(spark, "t", few, 50, {}, 3).count() == 2
+
+
+def test_headline_as_data(spark):
+    t = spark.createDataFrame([(1, "1"), (2, "2")], "k int, s string")
+    head = small(a="select k, s from {{ source('raw', 't') }} where k > 1", b="select count(*) as n from {{ ref('a') }}")
+    head.models["b"].layer = "marts"
+    base = small(a="select k, s from {{ source('raw', 't') }}", b="select count(*) as n from {{ ref('a') }}")
+    from planproof.sources.files import Config
+
+    r = compare.run(spark, head, base, {"source.raw.t": t}, Config(metrics=[{"name": "rows", "model": "a", "sql": "count(1)"}]))
+    d = rp.headline_data(r)
+    assert (d["new_failures"], d["moved_metrics"], d["metrics_defined"], d["value_changed_models"], d["touched_models"], d["touched_marts"]) == (0, 1, 1, 2, 2, 1)
+    assert d["top_metric"] == {"name": "rows", "label": "rows", "base": 2, "head": 1} and d["text"] == rp.headline(r) and rp.summary(r)["headline"] == d
+    alone = rp.headline_data(compare.run(spark, head, None, {"source.raw.t": t}))
+    assert alone["moved_metrics"] is None and alone["touched_marts"] is None and rp.headline_data(compare.run(spark, head, head, {"source.raw.t": t})) is None
+    bad = small(a="select nope from {{ source('raw', 't') }}")
+    assert "that is not there" in rp.markdown(compare.run(spark, bad, base, {"source.raw.t": t}))
