@@ -77,7 +77,8 @@ def test_profile_top(spark):
 
 
 def test_spanning(spark):
-    defs = [metrics.Compiled("opc", "orders", expr="cast((__o__) as double) / nullif((__c__), 0)", inputs={"__o__": ("orders", "count(1)"), "__c__": ("customers", "count(1)")})]
+    count = lambda r: metrics.Leaf(r, "count", "*")
+    defs = [metrics.Definition("opc", metrics.Quotient(count("orders"), count("customers")))]
     o, c3, c2 = spark.range(1), spark.range(3), spark.range(2)
     x = spanning(defs, {"orders": o, "customers": c2}, {"orders": o, "customers": c3}, {"customers"})[0]
     assert (round(x.base, 4), x.head, x.moved) == (0.3333, 0.5, True)
