@@ -11,7 +11,7 @@ from planproof.functions import json as js
 from planproof.functions import scalar
 from planproof.operators import breakdown as bd
 from planproof.operators import conventions, diff, judge, metrics, profile, quality
-from planproof.plans import compare, generate, graph, infer, project
+from planproof.plans import compare, generate, graph, infer, lineage, project
 from planproof.plans.marts import Marts
 from planproof.session import configured
 
@@ -426,29 +426,65 @@ def test_singular(m):
     return quality.singular(m.spark, "SELECT o_orderkey FROM singular_orders WHERE o_totalprice > 400000")
 
 
-@query("SELECT 1::BIGINT AS missing, 1::BIGINT AS unexpected")
+@query("""WITH actual AS (SELECT l_orderkey AS order_id, count(*) AS n, sum(CAST(l_quantity AS BIGINT))::BIGINT AS units FROM lineitem GROUP BY 1),
+expected AS (SELECT order_id, n, CASE WHEN order_id % 50 = 0 THEN NULL ELSE units END AS units FROM actual WHERE order_id % 70 <> 3 UNION ALL SELECT * FROM actual WHERE order_id % 90 = 1)
+SELECT (SELECT count(*) FROM (SELECT * FROM expected EXCEPT ALL SELECT * FROM actual)) AS missing, (SELECT count(*) FROM (SELECT * FROM actual EXCEPT ALL SELECT * FROM expected)) AS unexpected""")
 def unit_test_diff(m):
-    items = m.spark.createDataFrame([(10, 1, 2, 1000, 100), (10, 2, 1, 500, 0), (11, 1, 3, 1000, 300)], "order_id long, product_id long, quantity long, unit_cents long, discount_cents long")
-    gross = F.col("quantity") * F.col("unit_cents")
-    actual = items.groupBy("order_id").agg(F.count("*").alias("lines"), F.sum("quantity").alias("units"), F.sum(gross).alias("gross"), F.sum(gross - F.col("discount_cents")).alias("net"))
-    expected = m.spark.createDataFrame([(10, 2, 3, 2500, 2400), (11, 1, 3, 3000, 2701)], "order_id long, lines long, units long, gross long, net long")
+    lines = m.table("lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_quantity").cast("bigint").alias("q"))
+    actual = lines.groupBy("order_id").agg(F.count("*").alias("n"), F.sum("q").alias("units"))
+    expected = actual.where("order_id % 70 <> 3").withColumn("units", F.when(F.col("order_id") % 50 != 0, F.col("units"))).unionAll(actual.where("order_id % 90 = 1"))
     return quality.unit_diff(actual, expected)
 
 
-_RESULTS = [
-    ("a", "fail", 108, None, "fail", 108, None), ("b", "fail", 90, None, "fail", 108, None), ("c", "fail", 120, None, "fail", 108, None), ("d", "fail", 3, None, None, None, None),
-    ("e", "fail", 3, None, "pass", 0, None), ("f", "fail", 3, None, "skipped", None, None), ("g", "error", None, "bad x", "fail", 1, None), ("h", "fail", 1, None, "error", None, "bad x"),
-    ("i", "error", None, "no column a in head.t", "error", None, "no column a in base.t"), ("j", "error", None, "no column b", "error", None, "no column a"), ("k", "warn", 2, None, "warn", 2, None), ("l", "pass", 0, None, "fail", 3, None),
-]
+#: Results of tests made up from the orders, on head and on base: every pair of statuses, counts and errors; the same SQL on
+#: both engines. The two errors name a column each, and differ else only in what two runs of one error differ in.
+_STATUS = "CASE {} % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'warn' WHEN 2 THEN 'fail' WHEN 3 THEN 'error' ELSE 'skipped' END"
+_RESULTS = {
+    "test": "'t' || CAST(o_orderkey AS VARCHAR(20))",
+    "status": _STATUS.format("o_orderkey"),
+    "failures": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey % 4 END",
+    "message": "CASE WHEN o_custkey % 2 = 0 THEN 'no column `a` in head.t (line 3, pos 4)' ELSE 'no column `b` in head.t (line 5, pos 1)' END",
+    "base_status": _STATUS.format("CAST(floor(o_orderkey / 5) AS BIGINT)"),
+    "base_failures": "CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE CAST(floor(o_custkey / 4) AS BIGINT) % 4 END",
+    "base_message": "CASE WHEN o_custkey % 3 = 0 THEN 'no column a in  base.t' ELSE 'no column `b` in base.t (line 9, pos 12)' END",
+}
 
 
-@query("""SELECT * FROM (VALUES ('a', true, false), ('b', true, false), ('c', false, true), ('d', false, true), ('e', false, true), ('f', false, true), ('g', false, true), ('h', false, true), ('i', true, false), ('j', false, true), ('k', false, false), ('l', false, false)) t(test, preexisting, counts)""")
+@query("""WITH r AS (SELECT {}, o_orderkey % 13 <> 0 AS on_base FROM orders), f AS (SELECT *, status IN ('fail', 'error') AS failing, regexp_extract(message, 'column `?(.)', 1) = regexp_extract(base_message, 'column `?(.)', 1) AS same_error FROM r),
+p AS (SELECT test, failing, failing AND on_base AND status = base_status AND CASE status WHEN 'fail' THEN coalesce(failures <= base_failures, true) ELSE same_error END AS preexisting FROM f)
+SELECT test, preexisting, failing AND NOT preexisting AS counts FROM p""".format(", ".join(f"{e} AS {n}" for n, e in _RESULTS.items())))
 def judge_tests(m):
-    head = m.spark.createDataFrame([r[:4] for r in _RESULTS], "test string, status string, failures long, message string")
-    base = m.spark.createDataFrame([(r[0], *r[4:]) for r in _RESULTS if r[4]], "test string, status string, failures long, message string")
+    o = m.table("orders")
+    head = o.selectExpr(*(f"{_RESULTS[n]} AS {n}" for n in ("test", "status", "failures", "message")))
+    base = o.where("o_orderkey % 13 <> 0").selectExpr(f"{_RESULTS['test']} AS test", *(f"{_RESULTS['base_' + n]} AS {n}" for n in ("status", "failures", "message")))
     return judge.judged(head, base)
 
 
+@query("""WITH cases AS (SELECT * FROM (VALUES ('none'), ('passed'), ('same'), ('other')) a(base), (VALUES (true), (false)) d(data), (VALUES (true), (false)) r(reached), (VALUES (true), (false)) w(modified)),
+o AS (SELECT *, CASE WHEN base <> 'same' THEN 'failed' WHEN data AND reached THEN 'unverified_broken_on_base' WHEN data THEN 'fixture_limited' WHEN NOT reached THEN 'broken_on_base' WHEN modified THEN 'failed' ELSE 'unverified_broken_on_base' END AS outcome FROM cases)
+SELECT *, outcome NOT IN ('fixture_limited', 'broken_on_base') AS fails FROM o""")
+def judge_outcomes(m):
+    """What an error on head counts as, for every state of the base and of the change."""
+    error = lambda c: judge.Result("m", "error", None, f"no column {c}", "UNRESOLVED_COLUMN")
+    base = {"none": None, "passed": judge.Result("m", "success"), "same": error("a"), "other": error("b")}
+    flags = (True, False)
+    rows = [(k, d, r, w, *judge.model_outcome(error("a"), b, data=d, reached=r, modified=w)) for k, b in base.items() for d in flags for r in flags for w in flags]
+    return m.spark.createDataFrame(rows, "base string, data boolean, reached boolean, modified boolean, outcome string, fails boolean")
+
+
+_BEHIND = ("broken_on_base", "fixture_limited", "unverified_broken_on_base", "failed")
+
+
+@query("""WITH b(behind) AS (VALUES {}), cases AS (SELECT x.behind AS one, y.behind AS other, reached, base_skipped FROM b x, b y, (VALUES (true), (false)) r(reached), (VALUES (true), (false)) s(base_skipped)),
+o AS (SELECT *, CASE WHEN 'failed' IN (one, other) THEN 'skipped' WHEN 'unverified_broken_on_base' IN (one, other) OR NOT base_skipped THEN 'skipped_by_unverified' WHEN reached THEN 'skipped_unchecked' ELSE 'skipped_excused' END AS outcome FROM cases)
+SELECT *, outcome <> 'skipped_excused' AS fails FROM o""".format(", ".join(f"('{x}')" for x in _BEHIND)))
+def judge_skipped(m):
+    """What a skipped model counts as, behind every pair of outcomes."""
+    flags = (True, False)
+    rows = [(a, b, r, s, *judge.skipped_outcome({a, b}, r, s)) for a in _BEHIND for b in _BEHIND for r in flags for s in flags]
+    return m.spark.createDataFrame(rows, "one string, other string, reached boolean, base_skipped boolean, outcome string, fails boolean")
+
+
 # ------------------------------------------------------------------ graph
 
 _EDGES = [("src.customers", "stg_customers"), ("src.orders", "stg_orders"), ("src.items", "stg_items"), ("stg_items", "int_items"), ("stg_orders", "fct_orders"), ("int_items", "fct_orders"), ("stg_customers", "dim_customers"), ("fct_orders", "dim_customers"), ("src.products", "dim_products")]
@@ -469,11 +505,36 @@ def dag_affected(m):
     return graph.affected(_edges(m), ["int_items"])
 
 
-@query("SELECT * FROM (VALUES ('fct_orders', 1), ('stg_orders', 2), ('stg_items', 3)) t(node, depth)")
+@query(f"WITH RECURSIVE {_EDGE_SQL}, u(node, depth) AS (SELECT 'dim_customers', 0 UNION SELECT parent, depth + 1 FROM edges JOIN u ON child = node) SELECT node, min(depth) AS depth FROM u WHERE node IN ('stg_orders', 'fct_orders', 'stg_items', 'dim_products') GROUP BY node")
 def dag_changed_ancestors(m):
     return graph.changed_ancestors(_edges(m), "dim_customers", ["stg_orders", "fct_orders", "stg_items", "dim_products"])
 
 
+@query(f"""WITH RECURSIVE {_EDGE_SQL}, reads(test, model) AS (VALUES ('same_total', 'fct_orders'), ('same_total', 'dim_products'), ('sizes', 'dim_products'), ('sizes', 'stg_customers')),
+d(node) AS (SELECT 'int_items' UNION SELECT child FROM edges JOIN d ON parent = node), t(node) AS (SELECT node FROM d UNION SELECT o.model FROM reads r JOIN d ON r.model = d.node JOIN reads o ON o.test = r.test),
+u(node) AS (SELECT node FROM t UNION SELECT parent FROM edges JOIN u ON child = node) SELECT node FROM u""")
+def dag_affected_by_tests(m):
+    """Models that share a test with what is affected are built too, with all that they read."""
+    found = graph.Graph(_EDGES).affected({"int_items"}, {"same_total": {"fct_orders", "dim_products"}})
+    return m.spark.createDataFrame([(n,) for n in sorted(found)], "node string")
+
+
+@query(f"""WITH RECURSIVE {_EDGE_SQL}, l(node, level) AS (SELECT DISTINCT parent, 0 FROM edges WHERE parent NOT IN (SELECT child FROM edges) UNION SELECT child, level + 1 FROM edges JOIN l ON parent = node)
+SELECT node, count(DISTINCT e.parent) AS parents, true AS after_parents FROM (SELECT DISTINCT node FROM l) LEFT JOIN edges e ON e.child = node GROUP BY node""")
+def dag_ordered(m):
+    g = graph.Graph(_EDGES)
+    at = {n: k for k, n in enumerate(g.ordered())}
+    return m.spark.createDataFrame([(n, len(set(g.parents[n])), all(at[p] < k for p in g.parents[n])) for n, k in at.items()], "node string, parents long, after_parents boolean")
+
+
+@query(f"""WITH RECURSIVE {_EDGE_SQL}, d(node) AS (SELECT 'stg_items' UNION SELECT child FROM edges JOIN d ON parent = node), s(node) AS (SELECT 'stg_customers' UNION SELECT child FROM edges JOIN s ON parent = node)
+SELECT node FROM d WHERE node NOT IN (SELECT node FROM s) AND node <> 'stg_items'""")
+def dag_comparable(m):
+    """What is compared: reached by the change, built, and not behind a snapshot."""
+    built = {n for e in _EDGES for n in e} - {"stg_items"}
+    return m.spark.createDataFrame([(n,) for n in graph.Graph(_EDGES).comparable(["stg_items"], built, {"stg_customers"})], "node string")
+
+
 @query(f"WITH RECURSIVE {_EDGE_SQL}, d(node) AS (SELECT 'src.items' UNION SELECT child FROM edges JOIN d ON parent = node) SELECT node FROM d WHERE node NOT LIKE 'src.%'")
 def fixture_bound(m):
     return graph.reachable(_edges(m), ["src.items"]).where("depth > 0").select("node")
@@ -572,7 +633,7 @@ def json_typed_leaf(m):
     return m.table("events").select("event_id", js.leaf(F.col("props"), "k", "integer").alias("k"), js.leaf(F.col("props"), "k", "date").alias("d"))
 
 
-@query("SELECT event_id, (event_id % 4)::INT AS n FROM events")
+@query("SELECT event_id, json_array_length(json_object('items', ([1, 2, 3])[1:(event_id % 4)::INT]), '$.items')::INT AS n FROM events")
 def json_array_len(m):
     e = m.table("events").select("event_id", F.to_json(F.struct(F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(1), (F.col("event_id") % 4).cast("int")).alias("items"))).alias("j"))
     return e.select("event_id", js.array_length(F.col("j"), "items").alias("n"))
@@ -589,12 +650,21 @@ def json_values(m):
 
 # ------------------------------------------------------------------ inference
 
-_COLUMNS = {"email": "varchar", "created_at": "timestamp", "signup_date": "date", "customer_id": "int", "is_active": "boolean", "order_total_cents": "int", "item_count": "int", "tax_rate": "decimal", "description": "varchar", "starts_on": "date", "enabled": "boolean", "subtotal": "decimal", "nickname": "varchar"}
+#: Column names made up from the orders: every mix of a start, a stem and an end.
+_NAME = ("CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'is_' WHEN 2 THEN 'order_' ELSE 'Has_' END || CASE o_custkey % 10 WHEN 0 THEN 'email' WHEN 1 THEN 'status' WHEN 2 THEN 'subtotal' WHEN 3 THEN 'count' WHEN 4 THEN 'name' "
+         "WHEN 5 THEN 'weight' WHEN 6 THEN 'enabled' WHEN 7 THEN 'date' WHEN 8 THEN 'counted' ELSE 'id' END || CASE CAST(floor(o_orderkey / 4) AS BIGINT) % 11 WHEN 0 THEN '' WHEN 1 THEN '_at' WHEN 2 THEN '_date' WHEN 3 THEN '_id' WHEN 4 THEN '_cents' "
+         "WHEN 5 THEN '_flag' WHEN 6 THEN '_rate' WHEN 7 THEN '_on' WHEN 8 THEN '_QTY' WHEN 9 THEN 's' ELSE '_timestamp' END")
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+_ENDS = lambda ends: "(" + " OR ".join(f"ends_with(n, '{e}')" for e in ends) + ")"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _COLUMNS.items()) + ") t(name, type)")
+@query(f"""WITH x AS (SELECT DISTINCT {_NAME} AS name FROM orders), l AS (SELECT name, lower(name) AS n FROM x)
+SELECT name, CASE WHEN list_contains({_LIST(infer.VARCHAR_NAMES)}, n) THEN 'varchar' WHEN list_contains({_LIST(infer.TIMESTAMP_NAMES)}, n) OR {_ENDS(infer.TIMESTAMP_ENDS)} THEN 'timestamp'
+WHEN list_contains({_LIST(infer.DATE_NAMES)}, n) OR {_ENDS(infer.DATE_ENDS)} THEN 'date' WHEN n = 'id' OR ends_with(n, '_id') THEN 'int'
+WHEN starts_with(n, 'is_') OR starts_with(n, 'has_') OR list_contains({_LIST(infer.BOOLEAN_NAMES)}, n) OR {_ENDS(infer.BOOLEAN_ENDS)} THEN 'boolean'
+WHEN list_has_any(string_split(n, '_'), {_LIST(infer.INT_TOKENS)}) OR {_ENDS(infer.INT_ENDS)} THEN 'int' WHEN len(list_filter({_LIST(infer.DECIMAL_PARTS)}, lambda p: contains(n, p))) > 0 THEN 'decimal' ELSE 'varchar' END AS type FROM l""")
 def infer_types_by_name(m):
-    return m.spark.createDataFrame([(k,) for k in _COLUMNS], "name string").select("name", infer.type_by_name_column(F.col("name")).alias("type"))
+    return m.table("orders").selectExpr(f"{_NAME} AS name").distinct().select("name", infer.type_by_name_column(F.col("name")).alias("type"))
 
 
 @query("SELECT * FROM (VALUES ('amount', 'date'), ('day_count', 'int'), ('label', 'decimal'), ('code', 'varchar'), ('flagged', 'boolean'), ('parent_id', 'int'), ('total_amount', 'decimal')) t(name, type)")
@@ -609,21 +679,68 @@ def fk_candidates(m):
     return m.spark.createDataFrame([(t, c, p) for t, cols in tables.items() for c in cols if (p := infer.foreign_key(t, c, tables))], "child string, column_name string, parent string")
 
 
+# ------------------------------------------------------------------ lineage
+
+#: Statements whose tables and columns either engine's parser tells.
+_STATEMENTS = [
+    "SELECT a, t.b AS c FROM t WHERE d > 1",
+    "SELECT x.a, y.k FROM t x JOIN u y ON x.id = y.id WHERE y.e IS NOT NULL",
+    "SELECT region, sum(amount) AS total FROM t GROUP BY region HAVING max(m) > 3",
+    "WITH c AS (SELECT id, v FROM t) SELECT id FROM c WHERE v IN (SELECT w FROM u)",
+    "WITH c AS (SELECT id FROM t) SELECT b FROM s WHERE k IN (SELECT id FROM c)",
+    "WITH c AS (SELECT id FROM t), d AS (SELECT id FROM c) SELECT b, (SELECT max(id) FROM d) AS top FROM s",
+    "SELECT a FROM t WHERE EXISTS (SELECT 1 FROM u WHERE u.k = t.id AND u.w > 2)",
+    "SELECT CASE WHEN f THEN g ELSE h END AS z FROM t",
+    "SELECT a FROM t UNION ALL SELECT b FROM u",
+    "SELECT row_number() OVER (PARTITION BY p ORDER BY q) AS n FROM t",
+    "SELECT z.a FROM (SELECT a, b FROM t WHERE r = 1) z WHERE z.b < 2",
+    "SELECT CAST(a AS DATE) AS d, coalesce(b, c) AS e FROM t WHERE lower(f) LIKE 'x%'",
+    "SELECT a FROM t WHERE b IN (SELECT DISTINCT c FROM u) AND d > (SELECT e FROM v ORDER BY g LIMIT 1)",
+]
+
+
+@query("""WITH s(k, ast) AS (SELECT k, json_serialize_sql(text) FROM (VALUES {}) x(k, text)), names AS (SELECT k, 'column' AS kind, unnest(regexp_extract_all(ast, '"column_names":\\[(?:"\\w+",)?"(\\w+)"\\]', 1)) AS name FROM s
+UNION ALL SELECT k, 'table', unnest(regexp_extract_all(ast, '"table_name":"(\\w+)"', 1)) FROM s), ctes AS (SELECT k, unnest(regexp_extract_all(ast, '"key":"(\\w+)"', 1)) AS name FROM s)
+SELECT DISTINCT k, kind, name FROM names WHERE kind = 'column' OR NOT EXISTS (SELECT 1 FROM ctes WHERE ctes.k = names.k AND ctes.name = names.name)""".format(", ".join("({}, '{}')".format(k, t.replace("'", "''")) for k, t in enumerate(_STATEMENTS))))
+def lineage_reads(m):
+    """Tables and columns that statements read, through aliases, subqueries and CTEs."""
+    rows = set()
+    for k, text in enumerate(_STATEMENTS):
+        got = lineage.reads(m.spark, text)[0].columns
+        rows |= {(k, "table", t) for t in got} | {(k, "column", c) for of in got.values() for c in of}
+    return m.spark.createDataFrame(sorted(rows), "k int, kind string, name string")
+
+
 # ------------------------------------------------------------------ verdicts
 
 
-@query("SELECT * FROM (VALUES ('clean', 'passed'), ('warned', 'passed_with_warnings'), ('broken', 'failed'), ('unchanged', 'nothing_changed'), ('fatal', 'could_not_run')) t(run, verdict)")
+@query("""SELECT o_orderkey AS run, CASE WHEN o_orderkey % 17 = 0 THEN 'could_not_run' WHEN o_custkey % 3 > 0 THEN 'failed' WHEN o_orderkey % 4 = 0 THEN 'nothing_changed' WHEN o_custkey % 5 = 0 THEN 'passed' ELSE 'passed_with_warnings' END AS verdict FROM orders""")
 def verdict(m):
-    rows = [("clean", False, 3, 0, 0), ("warned", False, 3, 0, 2), ("broken", False, 3, 1, 1), ("unchanged", False, 0, 0, 0), ("fatal", True, 0, 0, 0)]
-    return judge.verdicts(m.spark.createDataFrame(rows, "run string, fatal boolean, changed int, failing int, warnings int"))
+    return judge.verdicts(m.table("orders").selectExpr("o_orderkey AS run", "o_orderkey % 17 = 0 AS fatal", "o_orderkey % 4 AS changed", "o_custkey % 3 AS failing", "o_custkey % 5 AS warnings"))
 
 
-@query("SELECT * FROM (VALUES ('b', 'built fell'), ('c', 'failed rose'), ('d', 'rename no longer detected'), ('e', 'verdict is worse')) t(run, regression)")
+#: Records of runs of the suite made up from the orders: {} is 1 for the earlier record and 3 for the later.
+_RECORD = {
+    "verdict": "CASE CAST(floor(o_custkey / {}) AS BIGINT) % 5 WHEN 0 THEN 'nothing_changed' WHEN 1 THEN 'passed' WHEN 2 THEN 'passed_with_warnings' WHEN 3 THEN 'failed' ELSE 'could_not_run' END",
+    "built": "CAST(floor(o_orderkey / {}) AS BIGINT) % 4",
+    "failed": "CAST(floor(o_custkey / {}) AS BIGINT) % 3",
+    "not_verified": "CAST(floor(o_orderkey / {}) AS BIGINT) % 2",
+    "no_result": "CAST(floor(o_custkey / {}) AS BIGINT) % 2",
+    "rename_detected": "CAST(floor(o_orderkey / {}) AS BIGINT) % 5 > 1",
+}
+
+
+def _record(step: int) -> list[str]:
+    return ["o_orderkey AS run", *(f"{e.format(step)} AS {n}" for n, e in _RECORD.items())]
+
+
+@query("""WITH b AS (SELECT {} FROM orders), n AS (SELECT {} FROM orders), j AS (SELECT n.run, list_position({ranks}, n.verdict) AS rank, list_position({ranks}, b.verdict) AS old_rank, n.built, b.built AS old_built, n.failed, b.failed AS old_failed,
+n.not_verified, b.not_verified AS old_not_verified, n.no_result, b.no_result AS old_no_result, b.rename_detected AND NOT n.rename_detected AS lost FROM n JOIN b USING (run))
+SELECT run, 'built fell' AS regression FROM j WHERE built < old_built UNION ALL SELECT run, 'failed rose' FROM j WHERE failed > old_failed UNION ALL SELECT run, 'not_verified rose' FROM j WHERE not_verified > old_not_verified
+UNION ALL SELECT run, 'no_result rose' FROM j WHERE no_result > old_no_result UNION ALL SELECT run, 'rename no longer detected' FROM j WHERE lost UNION ALL SELECT run, 'verdict is worse' FROM j WHERE rank > old_rank""".format(", ".join(_record(1)), ", ".join(_record(3)), ranks=list(judge.RANK)))
 def suite_regressions(m):
-    cols = "run string, verdict string, built int, failed int, not_verified int, no_result int, rename_detected boolean"
-    old = [(r, "passed", 5, 0, 0, 0, True) for r in "abcde"]
-    new = [("a", "passed", 6, 0, 0, 0, True), ("b", "passed", 4, 0, 0, 0, True), ("c", "passed", 5, 1, 0, 0, True), ("d", "passed", 5, 0, 0, 0, False), ("e", "failed", 5, 0, 0, 0, True)]
-    return judge.regressions(m.spark.createDataFrame(new, cols), m.spark.createDataFrame(old, cols))
+    o = m.table("orders")
+    return judge.regressions(o.selectExpr(*_record(3)), o.selectExpr(*_record(1)))
 
 
 @query("SELECT *, date_diff('hour', CAST(ts AS TIMESTAMP), CAST(ts AS TIMESTAMP) + INTERVAL 95 MINUTE) AS hours, date_diff('month', ts, ts + INTERVAL 40 DAY) AS months FROM (SELECT event_id, ts FROM events)")
@@ -673,10 +790,11 @@ def metric_first_definition(m):
     return m.spark.createDataFrame([(x.relation, x.name, x.source) for x in metrics.first_of_each(*kinds)], "relation string, metric string, source string")
 
 
-@query("SELECT * FROM (VALUES (1, 'no column a in run.t'), (2, 'no column a in run.t'), (3, 'took ')) t(k, message)")
+@query("SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 2 THEN 'read ' || o_orderstatus || '.csv after' ELSE 'no column c' || CAST(o_custkey AS VARCHAR) || ' in run.t' END AS message FROM orders")
 def judge_normalised(m):
-    raw = m.spark.createDataFrame([(1, "no column `a` in head.t (line 3, pos 4)"), (2, "no column a in  base.t"), (3, "took 12 ms")], "k int, message string")
-    return raw.select("k", F.when(F.col("k") == 3, F.concat(judge.normalised_column(F.col("message")), F.lit(" "))).otherwise(judge.normalised_column(F.col("message"))).alias("message"))
+    text = ("CASE o_orderkey % 3 WHEN 0 THEN 'no column `c' || o_custkey || '` in head.t (line ' || o_orderkey || ', pos 4)' WHEN 1 THEN 'no  column c' || o_custkey || ' in\\n base.t #' || o_orderkey || 'L' "
+            "ELSE 'read /data/x' || o_custkey || '/' || o_orderstatus || '.csv after ' || o_orderkey || '.5 ms' END")
+    return m.table("orders").selectExpr("o_orderkey AS k", f"{text} AS message").select("k", judge.normalised_column(F.col("message")).alias("message"))
 
 
 @query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE json_valid(props)) AS valid, count(*) FILTER (WHERE json_exists(props, '$.k')) AS with_k FROM events GROUP BY 1")

@@ -88,32 +88,36 @@ class Graph:
         return sorted(n for n in self.depths(changed) if n in built and n not in behind)
 
 
-def reachable(edges: DataFrame, seeds: list[str], up: bool = False) -> DataFrame:
-    """node, depth over an edge table (parent, child): breadth first, one join a level. A level is a project's size, so it is
-    held on the driver; with planproof.graph.onDriver=false levels are checkpoints, for edge tables of any size."""
+#: Levels of up to this many nodes are held on the driver as they are found; larger ones are checkpoints.
+ON_DRIVER = 10_000
+
+
+def reachable(edges: DataFrame, seeds: list[str] | DataFrame, up: bool = False) -> DataFrame:
+    """node, depth over an edge table (parent, child) of any size: breadth first, one join a level, from names or a table
+    with a column node. planproof.graph.onDriver=false makes every level a checkpoint."""
     a, b = ("child", "parent") if up else ("parent", "child")
     step = edges.select(F.col(a).alias("at"), F.col(b).alias("node")).distinct()
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(s, 0) for s in seeds], "node string, depth int")
+    most = ON_DRIVER if spark.conf.get("planproof.graph.onDriver", "true") == "true" else 0
+    seen = seeds.select("node", F.lit(0).alias("depth")) if isinstance(seeds, DataFrame) else spark.createDataFrame([(s, 0) for s in seeds], "node string, depth int")
     front = seen
     while True:
         nxt = front.join(step, front.node == step["at"]).select(step.node, (F.col("depth") + 1).alias("depth")).distinct()
         nxt = nxt.join(seen.select("node"), "node", "left_anti")
-        rows = nxt.collect() if spark.conf.get("planproof.graph.onDriver", "true") == "true" else None
-        if rows is not None:
-            nxt = spark.createDataFrame(rows, "node string, depth int")
-            if not rows:
-                return seen
-        else:
+        rows = nxt.limit(most + 1).collect() if most else None
+        if rows is None or len(rows) > most:
             nxt = nxt.checkpoint()
             if nxt.isEmpty():
                 return seen
+        else:
+            nxt = spark.createDataFrame(rows, "node string, depth int")
+            if not rows:
+                return seen
         seen, front = seen.unionByName(nxt), nxt
 
 
 def affected(edges: DataFrame, modified: list[str]) -> DataFrame:
-    down = [r[0] for r in reachable(edges, modified).select("node").collect()]
-    return reachable(edges, down, up=True).select("node")
+    return reachable(edges, reachable(edges, modified), up=True).select("node")
 
 
 def changed_ancestors(edges: DataFrame, node: str, changed: list[str]) -> DataFrame:
