@@ -13,6 +13,7 @@ import pyarrow.fs
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from planproof.llm import audio, pii, url_vocab
 from planproof.llm.textblock import Words, multisets, shingles
@@ -183,6 +184,21 @@ def test_url_edges(spark):
     assert url_vocab.judge(odd.where("false")).count() == 0
 
 
+def test_vocabulary_from_a_table(spark, monkeypatch):
+    """Weights of a table against plain sums; odd rows of it are left out, and a table beyond the bound is refused."""
+    terms = spark.createDataFrame([("Bad", 3.0), ("meh", 1.0), ("meh", 1.5), ("so-so", 1.5), ("", 9.0), (None, 9.0), ("zero", 0.0), ("none", None)], "term string, weight double").withColumn("url", F.lit("x"))
+    urls = ["http://a.org/bad", "http://a.org/badly", "http://a.org/meh/meh", "http://a.org/MEH?so-so", "http://a.org/zero-none", "http://a.org/bad.meh.so-so", None]
+    want = [(1, 0, 3.0), (0, 0, 0.0), (0, 1, 1.5), (0, 2, 3.0), (0, 0, 0.0), (1, 2, 6.0), (0, 0, 0.0)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_vocab.judge(pages, terms, limit=3.0).orderBy("page_id").collect()
+    assert [(r["n_strict"], r["n_soft"], r["weight"]) for r in got] == want
+    assert [r["verdict"] for r in got] == ["block" if w >= 3 else "allow" for *_, w in want]
+    assert {r["verdict"] for r in url_vocab.judge(pages, terms.where("false")).collect()} == {"allow"}
+    monkeypatch.setattr(url_vocab, "MOST_TERMS", 2)
+    with pytest.raises(ValueError, match="more than 2 terms"):
+        url_vocab.judge(pages, terms)
+
+
 # ------------------------------------------------------------------ audio
 
 
