@@ -803,6 +803,31 @@ def json_valid_exists(m):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(js.valid(F.col("props"))).alias("valid"), F.count_if(js.exists(F.col("props"), "k")).alias("with_k"))
 
 
+#: JSON texts of every kind, by the event; the same SQL on both sides.
+_TEXTS = """CASE event_id % 9 WHEN 0 THEN '{"a": null}' WHEN 1 THEN '{"a": 1, "x-y": {"z": true}}' WHEN 2 THEN '{"x-y": {"z": null}, "b": 2}' WHEN 3 THEN '{bad' WHEN 4 THEN NULL WHEN 5 THEN '[1, 2]'
+WHEN 6 THEN '12' WHEN 7 THEN '"text"' ELSE 'true' END"""
+
+
+@query(f"""WITH x AS (SELECT event_id, {_TEXTS} AS t FROM events), v AS (SELECT event_id, t, CASE WHEN json_valid(t) THEN t END AS j FROM x)
+SELECT event_id, coalesce(json_exists(j, '$.a'), false) AS has_a, coalesce(json_exists(j, '$."x-y".z'), false) AS has_z, t IS NOT NULL AND j IS NULL AS malformed, TRY_CAST(json_extract_string(j, '$.a') AS BIGINT) AS a,
+CASE WHEN json_type(j) = 'OBJECT' THEN array_to_string(json_keys(j), ',') END AS keys, CASE json_type(j) WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' ELSE json_type(j) END AS kind FROM v""")
+def json_structure(m):
+    t = F.col("t")
+    kind = F.regexp_extract(js.type_of(t), "^[A-Z]+", 0)
+    rows = m.table("events").selectExpr("event_id", f"{_TEXTS} AS t")
+    return rows.select("event_id", js.exists(t, "a").alias("has_a"), js.exists(t, "x-y.z").alias("has_z"), F.coalesce(js.malformed(t), F.lit(False)).alias("malformed"), js.variant(t, "a", "integer").alias("a"), F.array_join(js.keys(t), ",").alias("keys"), kind.alias("kind"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, (o_custkey % 3 - 1)::DOUBLE AS a, nullif(o_orderkey % 4, 3)::DOUBLE AS b, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)
+SELECT o_orderkey, CASE WHEN b IS NULL THEN 'null' WHEN b <> 0 THEN 'number' WHEN a = 0 THEN 'nan' WHEN a > 0 THEN 'up' ELSE 'down' END AS quotient, CASE WHEN b <> 0 THEN a / b END AS value, round(cents / 100, 2) AS units FROM x""")
+def fn_ieee_divide(m):
+    a, b = F.col("o_custkey") % 3 - 1, F.nullif(F.col("o_orderkey") % 4, F.lit(3))
+    rows = m.table("orders").select("o_orderkey", scalar.ieee_divide(a, b).alias("q"), scalar.cents_to_units(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("units"))
+    q, top = F.col("q"), float("inf")
+    kind = F.when(q.isNull(), "null").when(F.isnan(q), "nan").when(q == top, "up").when(q == -top, "down").otherwise("number")
+    return rows.select("o_orderkey", kind.alias("quotient"), F.when(kind == "number", q).alias("value"), "units")
+
+
 @query("SELECT 'l_shipdate' AS dimension, count(DISTINCT date_trunc('month', l_shipdate)) AS n_distinct FROM lineitem UNION ALL SELECT 'l_flags', count(DISTINCT l_returnflag || l_linestatus) FROM lineitem")
 def distinct_expressions(m):
     return bd.distinct_counts(m.table("lineitem"), {"l_shipdate": "date_trunc('month', l_shipdate)", "l_flags": "l_returnflag || l_linestatus"})

@@ -43,6 +43,9 @@ def made_sources(spark, head, config, base=None):
         if s.uid not in frames:
             frames[s.uid] = generate.empty_stand_in(spark, s.columns or {"id": None})
     warnings = generate.warnings(specs) + [f"{u}: no columns are known" for u in mine.without] + mine.conflicts
+    if config.schema_file:
+        lacking, spare = schema.unmatched(tables, by_uid)
+        warnings += [f"{u}: no table of {config.schema_file} serves it, so it is empty" for u in lacking] + [f"{t}: no source reads this table of {config.schema_file}" for t in spare]
     return frames, on_base, mine.guessed, reshaped, warnings, sizes
 
 

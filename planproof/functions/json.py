@@ -39,7 +39,12 @@ def valid(c: Column) -> Column:
 
 
 def exists(c: Column, path: str) -> Column:
-    return extract(c, path).isNotNull()
+    """Whether the path leads to a value, a JSON null included; only a path through `[]` needs a value that is none."""
+    found = extract(c, path).isNotNull()
+    if "[]" in path or "'" in path:
+        return found
+    steps = "".join(f"['{p}']" for p in path.split(".") if p)
+    return found | F.try_variant_get(F.try_parse_json(c), f"${steps}", "variant").isNotNull()
 
 
 def type_of(c: Column) -> Column:

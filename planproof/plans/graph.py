@@ -102,7 +102,7 @@ def reachable(edges: DataFrame, seeds: list[str] | DataFrame, up: bool = False)
     seen = seeds.select("node", F.lit(0).alias("depth")) if isinstance(seeds, DataFrame) else spark.createDataFrame([(s, 0) for s in seeds], "node string, depth int")
     front = seen
     while True:
-        nxt = front.join(step, front.node == step["at"]).select(step.node, (F.col("depth") + 1).alias("depth")).distinct()
+        nxt = front.select(F.col("node").alias("at"), (F.col("depth") + 1).alias("depth")).join(step, "at").select("node", "depth").distinct()
         nxt = nxt.join(seen.select("node"), "node", "left_anti")
         rows = nxt.limit(most + 1).collect() if most else None
         if rows is None or len(rows) > most:

@@ -204,7 +204,7 @@ def reshaped(head: Schema, base: Schema) -> set[str]:
     return {t for t in {*head.tables, *base.tables} if head.tables.get(t) != base.tables.get(t) or {r for r in head.refs if r[0] == t} != {r for r in base.refs if r[0] == t}}
 
 
-def unmatched(p: Project, made: dict[str, object], names: dict[str, str]) -> tuple[list[str], list[str]]:
+def unmatched(made: dict[str, object], names: dict[str, str]) -> tuple[list[str], list[str]]:
     """Sources that no made table serves, and tables that no source declares."""
     return sorted(u for u, n in names.items() if n not in made), sorted(n for n in made if n not in names.values())
 

@@ -403,6 +403,21 @@ def test_paths_that_base_never_wrote_are_null_there(spark):
     assert generate.as_on_base(spec, {("parcels", "payload"): set()}) == {}
 
 
+def test_tables_that_serve_no_source():
+    assert schema.unmatched({"orders": None, "spare": None}, {"source.a.orders": "orders", "source.a.items": "items"}) == (["source.a.items"], ["spare"])
+
+
+def test_large_levels_are_checkpoints(spark, monkeypatch, tmp_path):
+    """Levels beyond the bound of the driver's share give what small ones give."""
+    edges = spark.createDataFrame([("a", f"b{k}") for k in range(6)] + [(f"b{k}", "c") for k in range(6)] + [("c", "a"), ("x", "b1")], "parent string, child string")
+    found = lambda: sorted(map(tuple, graph.reachable(edges, ["a"]).collect()))
+    want, near = found(), sorted(r[0] for r in graph.affected(edges, ["b1"]).collect())
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    monkeypatch.setattr(graph, "ON_DRIVER", 2)
+    assert found() == want == [("a", 0), *((f"b{k}", 1) for k in range(6)), ("c", 2)]
+    assert sorted(r[0] for r in graph.affected(edges, ["b1"]).collect()) == near == ["a", *(f"b{k}" for k in range(6)), "c", "x"]
+
+
 def test_composite_keys_are_filled_up(spark):
     spec = generate.TableSpec({"a": generate.Spec(values=[str(i) for i in range(8)]), "b": generate.Spec(values=[str(i) for i in range(9)])}, [("a", "b")])
     rows = [tuple(r) for r in generate.one_table(spark, "t", spec, 50, {}, 3).collect()]
